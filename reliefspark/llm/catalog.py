@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import warc
+from reliefspark.llm import bpe, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1_warc}
+    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
