@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from reliefspark.llm.shared import fresh_dir, local_or_remote, table
+from reliefspark.llm.shared import fresh_dir, local_or_remote, table, written
 from reliefspark.llm.textkit import SPACES, grouped, hash_spans, not_in, ragged, slices, strings
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
@@ -386,12 +386,21 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = 1 << 16) -> str:
-    """Compiles the ``size`` most frequent words of the corpus (ties by the word) and returns the file's URI.
+    """Compiles the most frequent words of the corpus, at most ``size``, and returns the file's URI.
 
-    ``size`` bounds what reaches the driver and what workers map; it has no effect on ids.
+    The least count is the lowest step of a 16th of a power of two above which there
+    are no more than ``size`` words, so that only those leave the executors. ``size``
+    bounds what reaches the driver and what workers map; it has no effect on ids.
     """
     vocab = vocabulary(tokenizer)
-    top = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    counts = written(word_counts(docs).where("n > 1"), "words").withColumn("step", F.floor(16 * F.log2("n")))
+    least, held = 1 << 30, 0
+    for step, n in sorted((tuple(r) for r in counts.groupBy("step").count().collect()), reverse=True):
+        held += n
+        if held > size:
+            break
+        least = step
+    top = counts.where(F.col("step") >= least).select("word").collect()
     words = [r.word for r in top if not any(t in r.word for t in vocab.added)]
     data = Transducer.build([(w.encode("utf-8"), vocab.encode(w)) for w in words]).dump()
     uri = fresh_dir(docs.sparkSession, "lexicon")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import bpe, quality, tokenfiles, warc
+from reliefspark.llm import bpe, neardup, quality, tokenfiles, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe, "op3_tokens": tokenfiles.op3_tokens, "op9_quality": quality.op9_quality}
+    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe, "op3_tokens": tokenfiles.op3_tokens, "op6_neardup": neardup.op6_neardup, "op9_quality": quality.op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
