@@ -273,12 +273,26 @@ class Encoder:
     Pieces are looked up in the lexicon; the others are encoded exactly by ``exact``, which gets distinct texts.
     """
 
-    def __init__(self, vocab: Vocabulary, exact: Callable[[list[str]], list[list[int]]], lexicon: Transducer | None = None, remember: int = 300_000):
+    def __init__(self, vocab: Vocabulary, exact: Callable[[list[str]], list[list[int]]], lexicon: Transducer | None = None, remember: int = 2_000_000):
         self.vocab, self.exact, self.lexicon, self.remember = vocab, exact, lexicon, remember
         self.marks = [t.encode("utf-8") for t in vocab.added]
-        self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # two sorted tables of key, start and length in ``ids``: all but the latest pieces, and the latest
+        self.tables = [self._table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
         self.ids = np.zeros(0, np.uint32)
 
+    @staticmethod
+    def _table(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(columns[0])
+        return tuple(c[order] for c in columns)
+
+    def _remember(self, *columns: np.ndarray) -> None:
+        """Joins pieces to the latest, and those to all where they have become many."""
+        old, late = self.tables
+        late = self._table(*map(np.concatenate, zip(late, columns, strict=True)))
+        if len(late[0]) > max(20_000, len(old[0]) // 4):
+            old, late = self._table(*map(np.concatenate, zip(old, late, strict=True))), tuple(c[:0] for c in late)
+        self.tables = [old, late]
+
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start and length in them for each of the distinct pieces)."""
         ranks = self.lexicon.ranks(data, starts, np.where(ends - starts <= LONGEST, ends, starts)) if self.lexicon is not None else np.full(len(keys), -1)
@@ -305,21 +319,20 @@ class Encoder:
             return self._with_added(data, offsets)
         starts, ends, rows = pieces(data, offsets)
         distinct, first, number = grouped(hash_spans(data, starts, ends))
-        at = np.searchsorted(self.keys, distinct)
         have = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        have[inside] = self.keys[at[inside]] == distinct[inside]
+        begin, length = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        for keys, begins, lengths in self.tables:
+            at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
+            here = np.flatnonzero(keys[at] == distinct) if len(keys) else at[:0]
+            have[here] = True
+            begin[here], length[here] = begins[at[here]], lengths[at[here]]
         new = np.flatnonzero(~have)
         ids, begins, lengths = self._learn(distinct[new], data, starts[first[new]], ends[first[new]])
-        begin, length = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-        begin[have], length[have] = self.starts[at[have]], self.lengths[at[have]]
         begin[new], length[new] = begins + len(self.ids), lengths
         store = np.concatenate([self.ids, ids])
-        if len(self.keys) + len(new) <= self.remember:
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys)
-            self.keys, self.ids = keys[order], store
-            self.starts, self.lengths = np.concatenate([self.starts, begin[new]])[order], np.concatenate([self.lengths, lengths])[order]
+        if sum(len(t[0]) for t in self.tables) + len(new) <= self.remember:
+            self.ids = store
+            self._remember(distinct[new], begin[new], lengths)
         where, bounds = ragged(begin[number], length[number])
         return store[where], bounds[rows]
 
