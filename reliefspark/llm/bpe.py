@@ -18,7 +18,7 @@ import re
 import struct
 import tempfile
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -60,19 +60,26 @@ class Vocabulary:
             self.id_bytes[i] = t
         for t, i in self.added.items():
             self.id_bytes[i] = t.encode("utf-8")
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            left, right = (bytes(symbols[c] for c in x) for x in (a, b))
-            self.merges.setdefault((self.token_id[left], self.token_id[right]), (rank, self.token_id[left + right]))
+        self.path, self.ignore_merges = path, spec["model"].get("ignore_merges", False)
         self.byte_ids = [self.token_id[bytes([b])] for b in range(256)]
         self.split_added = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self._compiled = self._compile(spec["model"].get("ignore_merges", False))
 
-    def _compile(self, ignore_merges: bool):
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, id of the result) of each pair of ids that is merged."""
+        symbols, out = byte_symbols(), {}
+        with open(self.path, encoding="utf-8") as f:
+            pairs = [m.split(" ") if isinstance(m, str) else m for m in json.load(f)["model"]["merges"]]
+        for rank, (a, b) in enumerate(pairs):
+            left, right = (bytes(symbols[c] for c in x) for x in (a, b))
+            out.setdefault((self.token_id[left], self.token_id[right]), (rank, self.token_id[left + right]))
+        return out
+
+    @cached_property
+    def _compiled(self):
         """A compiled encoder, where ids stand in the order of merges (then the lowest id is the lowest rank)."""
         results = [new for _, new in sorted(self.merges.values())]
-        if ignore_merges or results != sorted(set(results)) or (results and min(results) < 256):
+        if self.ignore_merges or results != sorted(set(results)) or (results and min(results) < 256):
             return None
         try:
             import tiktoken

@@ -23,8 +23,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the power of 0, 1, ... and of its inverse: ``n`` + 1 of each, or more."""
+    return _powers(max(PASS, 1 << (n - 1).bit_length()))
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n + 1, BASE, U64), np.full(n + 1, pow(BASE, -1, 1 << 64), U64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
@@ -46,7 +51,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + PASS, "right")))
         hi = int(ends[j - 1])
-        up, down = powers(PASS if hi - lo <= PASS else hi - lo)
+        up, down = powers(hi - lo)
         sums = np.zeros(hi - lo + 1, U64)
         np.cumsum(values[data[lo:hi]] * down[: hi - lo], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
