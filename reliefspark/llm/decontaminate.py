@@ -67,7 +67,7 @@ def tile(runs: list[np.ndarray], item: np.ndarray, least: int) -> list[tuple[int
     bounds = [x for r in runs for x in (r, np.zeros(1, U64))]
     text = np.concatenate(bounds) if bounds else np.zeros(0, U64)
     free_t, free_i = np.ones(len(text), bool), np.ones(len(item), bool)
-    free_t[np.cumsum([len(r) + 1 for r in runs]) - 1] = False
+    free_t[np.cumsum([len(r) + 1 for r in runs], dtype=np.int64) - 1] = False
     roll_t, roll_i = Rolling(text), Rolling(item)
 
     def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
