@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import bpe, decontaminate, neardup, quality, tokenfiles, warc
+from reliefspark.llm import bpe, decontaminate, linededup, neardup, quality, tokenfiles, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe, "op3_tokens": tokenfiles.op3_tokens, "op6_neardup": neardup.op6_neardup, "op9_quality": quality.op9_quality, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe, "op3_tokens": tokenfiles.op3_tokens, "op6_neardup": neardup.op6_neardup, "op8_linededup": linededup.op8_linededup, "op9_quality": quality.op9_quality, "op10_decontaminate": decontaminate.op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
