@@ -1,0 +1,119 @@
+import random
+import re
+import struct
+from collections import defaultdict
+
+import xxhash
+
+from reliefspark.llm import linededup
+from tests.llm.conftest import DOCUMENTS
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def h(text):
+    return signed(xxhash.xxh64_intdigest(text.encode(), 42))
+
+
+def roll(a, b):
+    seed = 42
+    for x in (a, b):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+    return signed(seed)
+
+
+def words(x):
+    return len(WORD.findall(x))
+
+
+def chunks(lines, divisor, long_words):
+    out = []
+    for i, x in enumerate(lines):
+        new = i == 0
+        if i:
+            r = roll(h(lines[i - 2]) if i > 1 else 0, h(lines[i - 1]))
+            new = r % divisor == 0 or words(lines[i - 1]) >= long_words or words(x) >= long_words
+        out.append([i, i + 1]) if new else out[-1].__setitem__(1, i + 1)
+    return out
+
+
+def brute(rows, divisor=2, long_words=25, min_lines=2, min_words=50):
+    docs = {}
+    for i, t in rows:
+        if t is not None:
+            docs[(1 << 63) - 1 if i is None else i, h(t)] = t.split("\n")
+    cut = {d: chunks(x, divisor, long_words) for d, x in docs.items()}
+    by = defaultdict(list)
+    for d, x in docs.items():
+        for k, (a, b) in enumerate(cut[d]):
+            n = sum(map(words, x[a:b]))
+            if n and (b - a >= min_lines or n >= long_words):
+                by["\n".join(x[a:b])].append((d, k))
+    gone, hits = defaultdict(set), defaultdict(int)
+    for found in by.values():
+        o, m = min(found)
+        for d, k in found:
+            if (d, k) == (o, m):
+                continue
+            (a, b), (c, e), mine, theirs = cut[d][k], cut[o][m], docs[d], docs[o]
+            left, right = cut[d][k - 1][0] if k else a, cut[d][k + 1][1] if k + 1 < len(cut[d]) else b
+            oleft, oright = cut[o][m - 1][0] if m else c, cut[o][m + 1][1] if m + 1 < len(cut[o]) else e
+            while a > left and c > oleft and mine[a - 1] == theirs[c - 1]:
+                a, c = a - 1, c - 1
+            while b < right and e < oright and mine[b] == theirs[e]:
+                b, e = b + 1, e + 1
+            if b - a >= min_lines or sum(map(words, mine[a:b])) >= min_words:
+                gone[d] |= set(range(a, b))
+                hits[d] += 1
+    out = []
+    for i, t in rows:
+        key = ((1 << 63) - 1 if i is None else i, h(t)) if t is not None else None
+        lines = [] if t is None else t.split("\n")
+        g = gone.get(key, set())
+        out.append((i, len(lines), len(g), hits.get(key, 0), None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in g)))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_lines", "n_removed", "n_chunks", "text").collect()), key=str)
+
+
+def test_query(spark, sf, documents):
+    found = got(linededup.op8_linededup(spark, sf))
+    assert found == brute([(r.doc_id, r.text) for r in documents.collect()]) and sum(r[2] for r in found) > 100
+
+
+def test_tricky(tricky, no_documents):
+    assert got(linededup.line_dedup(tricky)) == brute([(r.doc_id, r.text) for r in tricky.collect()])
+    assert linededup.line_dedup(no_documents).count() == 0
+    assert linededup.line_dedup(tricky).columns == ["doc_id", "text", "lang", "source", "n_chars", "path", "ids", "n", "h", "n_lines", "n_removed", "n_chunks"]
+
+
+def test_passages(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    passages = [[line(rng.choice([6, 20, 30, 60])) for _ in range(rng.choice([1, 2, 3, 6, 12]))] for _ in range(12)]
+    rows = []
+    for i in range(80):
+        own = [line(8) for _ in range(rng.randrange(6))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = p
+        rows.append((i, "\n".join(own)))
+    rows += [rows[3], rows[3], (None, rows[5][1]), (90, "same\n" * 700), (91, "same\n" * 400)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "", "", "", "") for r in rows], DOCUMENTS)
+    found = got(linededup.line_dedup(docs, longest=1 << 20))
+    assert found == brute(rows)
+    left = {x for r in found for x in (r[4] or "").split("\n")}
+    assert left >= {x for _, t in rows for x in t.split("\n") if x} and sum(r[2] for r in found) > 100
+    dropped = linededup.line_dedup(docs, drop_emptied=True, longest=1 << 20)
+    assert sorted(str(r.doc_id) for r in dropped.collect()) == sorted(str(r[0]) for r in found if not r[2] or WORD.search(r[4]))
+
+
+def test_no_python(spark, sf):
+    plan = linededup.op8_linededup(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
