@@ -177,17 +177,18 @@ def promising(pairs: DataFrame, sketches: DataFrame, floor: float, num: int, den
     return joined.select("a", "b", "na", "nb", "ra", "rb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3, margin: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, star_rounds: int = 4, margin: float = 0.16) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
     Documents with equal sets are one class, named by its smallest doc_id. Where
-    classes share a band, each is first compared with one of them (another in
-    each of ``star_rounds``), which joins large groups at a cost in proportion to
-    their size. Then all pairs of a band that still are in different components
-    are compared, in blocks, so no link between different texts is lost but to
-    the bands' miss rate. The estimate's ``margin`` is seven standard
-    errors for sets that fill the buckets; smaller sets leave few elements out of
-    their registers, so their estimates are closer.
+    classes share a band, each is first compared with one class of its bands
+    that is in another component (with another one in each of ``star_rounds``),
+    which joins large groups at a cost in proportion to their size. Then all
+    pairs of a band that still are in different components are compared, in
+    blocks, so no link between different texts is lost but to the bands' miss
+    rate. The estimate's ``margin`` is five standard errors for sets that fill
+    the buckets; smaller sets leave few elements out of their registers, so
+    their estimates are closer.
 
     Null or empty texts are linked with nothing. Rows without a doc_id are kept,
     have no component and no links; rows that repeat a doc_id belong to the
@@ -210,12 +211,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     links, labels = [], members.select("id").distinct().withColumn("component", F.col("id"))
     for turn in range(star_rounds):
         placed = members.join(labels, "id") if turn else members.withColumn("component", F.col("id"))
-        centre = placed.groupBy("band").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
-        pairs = placed.join(centre, "band").where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        order = lambda c: F.xxhash64(c, F.lit(turn))
+        centre = placed.groupBy("band").agg(F.min_by(F.struct("id", "component"), order("id")).alias("c"))
+        apart = placed.join(centre, "band").where("component <> c.component")
+        nearest = apart.groupBy("id").agg(F.min_by("c.id", order("c.id")).alias("to"))
+        pairs = nearest.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
         found = written(verified(promising(pairs, sketches, floor_of(num, den, margin), num, den), sets, num, den), "links")
         links.append(found)
         labels = joined_labels(members, links)
-    rest = written(rest_pairs(members.join(labels, "id"), sketches, floor_of(num, den, margin), num, den), "rest")
+    rest = written(rest_pairs(members.join(labels, "id"), heads.select("id", "n_shingles", "regs", "filled", "bands"), floor_of(num, den, margin), num, den), "rest")
     links.append(written(verified(rest, sets, num, den), "links"))
     final = components(reduce(DataFrame.union, links))
     classes = keyed.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))
@@ -235,13 +239,14 @@ def joined_labels(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return written(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed")
 
 
-def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, den: int, block: int = 512) -> DataFrame:
+def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, den: int, block: int = 2048) -> DataFrame:
     """Promising pairs that share a band but no component yet.
 
     Bands whose members are in one component are done. Of the others, members
     are dealt into blocks of about ``block``, and each pair of blocks is compared
     in one group: the registers of two blocks are all that a task holds, and
-    only pairs that pass the estimate are put out.
+    only pairs that pass the estimate are put out, each in the first band alone
+    that both have.
     """
     open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     dealt = placed.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -254,11 +259,14 @@ def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, d
         ids, comp, own, n = (t.column(c).to_numpy() for c in ("id", "component", "own", "n_shingles"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
         filled = np.unpackbits(np.frombuffer(b"".join(t.column("filled").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(bool)
+        bands = t.column("bands").combine_chunks().values.to_numpy().reshape(len(ids), BANDS)
+        before = int(np.flatnonzero(bands[0] == t.column("band")[0].as_py())[0])
         out_a, out_b = [], []
         for x in range(len(ids)):
             y = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((own != own[x]) if not diagonal else True) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
             if len(y):
                 y = y[estimates(regs, filled, n, np.full(len(y), x), y) >= floor]
+                y = y[~(bands[y, :before] == bands[x, :before]).any(1)]
                 out_a.append(np.full(len(y), ids[x]))
                 out_b.append(ids[y])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
