@@ -69,7 +69,8 @@ def repeated_lines(docs: DataFrame, divisor: int = 2, long_words: int = 25, min_
 
     What is looked for are chunks of ``min_lines`` lines or a long line. The
     smallest (doc_id, place) keeps each; others lose it with the equal lines next
-    to it, where that makes ``min_lines`` lines or ``min_words`` words. Hashes
+    to it, where that makes ``min_lines`` lines or ``min_words`` words, or where a
+    chunk next to it comes again too. Hashes
     find candidates in narrow rows, summed up before the shuffle; texts of
     chunks that come again are then shuffled once and compared.
     """
@@ -90,24 +91,34 @@ def repeated_lines(docs: DataFrame, divisor: int = 2, long_words: int = 25, min_
     begin = lambda k: F.get("starts", k)
     part = lambda a, b: F.slice("lines", a + 1, F.greatest(b - a, F.lit(0)))
 
-    def piece(k: Column) -> list[Column]:
+    own_k = F.transform("mine", lambda x: x["k"])
+
+    def piece(k: Column, left: Column, right: Column) -> list[Column]:
+        """A chunk, and the lines before (from the last on) and after it where ``left`` and ``right`` ask for them."""
         before = F.coalesce(F.get("starts", k - 1), F.lit(0))
-        return [begin(k).alias("start"), part(begin(k), end(k)).alias("body"), F.reverse(part(before, begin(k))).alias("left"), part(end(k), end(k + 1)).alias("right")]
+        none = F.array().cast("array<string>")
+        return [begin(k).alias("start"), part(begin(k), end(k)).alias("body"), F.when(left, F.reverse(part(before, begin(k)))).otherwise(none).alias("left"), F.when(right, part(end(k), end(k + 1))).otherwise(none).alias("right")]
+
+    def of_mine(x: Column) -> Column:
+        # a chunk next to it that comes again too is compared on its own
+        left, right = F.array_contains(own_k, x["k"] - 1), F.array_contains(own_k, x["k"] + 1)
+        return F.struct((left | right).alias("joined"), F.lit(False).alias("whole"), x["first"].alias("key"), x["k"].alias("k"), *piece(x["k"], ~left, ~right))
 
-    mine = F.transform("mine", lambda x: F.struct(F.lit(False).alias("whole"), x["first"].alias("key"), x["k"].alias("k"), *piece(x["k"])))
-    theirs = F.transform("asked", lambda k: F.struct(F.lit(True).alias("whole"), F.struct("_id", "_mark", k.alias("k")).alias("key"), k.alias("k"), *piece(k)))
+    mine = F.transform("mine", of_mine)
+    yes = F.lit(True)
+    theirs = F.transform("asked", lambda k: F.struct(F.lit(False).alias("joined"), yes.alias("whole"), F.struct("_id", "_mark", k.alias("k")).alias("key"), k.alias("k"), *piece(k, yes, yes)))
     empty = F.array().cast(theirs_type())
     both = held.select("_id", "_mark", F.explode(F.concat(F.coalesce(mine, empty), F.coalesce(theirs, empty))).alias("p")).select("_id", "_mark", "p.*")
     both = written(both, "pieces")
     wholes = both.where("whole").select("key", *(F.col(c).alias(f"o_{c}") for c in ("body", "left", "right")))
     equal = both.where("not whole").join(wholes, "key").where(F.col("body") == F.col("o_body"))
-    spans = equal.select("_id", "_mark", (F.col("start") - same_head(F.col("left"), F.col("o_left"))).alias("a"), (F.col("start") + F.size("body") + same_head(F.col("right"), F.col("o_right"))).alias("b"), F.aggregate(F.concat("body", F.slice("left", F.lit(1), same_head(F.col("left"), F.col("o_left"))), F.slice("right", F.lit(1), same_head(F.col("right"), F.col("o_right")))), F.lit(0), lambda n, x: n + n_words(x)).alias("words"))
-    found = spans.where((F.col("b") - F.col("a") >= min_lines) | (F.col("words") >= min_words))
+    spans = equal.select("_id", "_mark", "joined", (F.col("start") - same_head(F.col("left"), F.col("o_left"))).alias("a"), (F.col("start") + F.size("body") + same_head(F.col("right"), F.col("o_right"))).alias("b"), F.aggregate(F.concat("body", F.slice("left", F.lit(1), same_head(F.col("left"), F.col("o_left"))), F.slice("right", F.lit(1), same_head(F.col("right"), F.col("o_right")))), F.lit(0), lambda n, x: n + n_words(x)).alias("words"))
+    found = spans.where(F.col("joined") | (F.col("b") - F.col("a") >= min_lines) | (F.col("words") >= min_words))
     return found.groupBy("_id", "_mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1))))).alias("gone"), F.count(F.lit(1)).alias("chunks"))
 
 
 def theirs_type() -> str:
-    return "array<struct<whole:boolean,key:struct<_id:bigint,_mark:bigint,k:int>,k:int,start:int,body:array<string>,left:array<string>,right:array<string>>>"
+    return "array<struct<joined:boolean,whole:boolean,key:struct<_id:bigint,_mark:bigint,k:int>,k:int,start:int,body:array<string>,left:array<string>,right:array<string>>>"
 
 
 def line_dedup(docs: DataFrame, *, drop_emptied: bool = False, **how) -> DataFrame:

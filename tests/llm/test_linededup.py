@@ -54,19 +54,22 @@ def brute(rows, divisor=2, long_words=25, min_lines=2, min_words=50):
             if n and (b - a >= min_lines or n >= long_words):
                 by["\n".join(x[a:b])].append((d, k))
     gone, hits = defaultdict(set), defaultdict(int)
+    again = {x for found in by.values() for x in found if x != min(found)}
     for found in by.values():
         o, m = min(found)
         for d, k in found:
             if (d, k) == (o, m):
                 continue
             (a, b), (c, e), mine, theirs = cut[d][k], cut[o][m], docs[d], docs[o]
-            left, right = cut[d][k - 1][0] if k else a, cut[d][k + 1][1] if k + 1 < len(cut[d]) else b
+            joined = {(d, k - 1), (d, k + 1)} & again
+            left = cut[d][k - 1][0] if k and (d, k - 1) not in again else a
+            right = cut[d][k + 1][1] if k + 1 < len(cut[d]) and (d, k + 1) not in again else b
             oleft, oright = cut[o][m - 1][0] if m else c, cut[o][m + 1][1] if m + 1 < len(cut[o]) else e
             while a > left and c > oleft and mine[a - 1] == theirs[c - 1]:
                 a, c = a - 1, c - 1
             while b < right and e < oright and mine[b] == theirs[e]:
                 b, e = b + 1, e + 1
-            if b - a >= min_lines or sum(map(words, mine[a:b])) >= min_words:
+            if joined or b - a >= min_lines or sum(map(words, mine[a:b])) >= min_words:
                 gone[d] |= set(range(a, b))
                 hits[d] += 1
     out = []
