@@ -191,12 +191,17 @@ class Model:
     weights: np.ndarray
     prior: float  # log odds without any feature
     logp: np.ndarray
+    slope: float = 1.0
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> np.ndarray:
-        """By document: the prior and, of each distinct word, the weight of its heaviest feature, as a probability."""
+        """Probability that each document is toxic."""
+        return 1 / (1 + np.exp(-np.clip(self.prior + self.slope * self.evidence(data, offsets, restorer), -30, 30)))
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> np.ndarray:
+        """By document: of each distinct word, the weight of its heaviest feature, summed up."""
         n = len(offsets) - 1
         found, row = all_features(data, offsets, restorer)
-        total = np.full(n, self.prior)
+        total = np.zeros(n)
         if len(self.keys) and len(row):
             weight = np.zeros(len(row))
             for keys in found:
@@ -205,7 +210,7 @@ class Model:
             hit = np.flatnonzero(weight)
             _, first, _ = grouped(found[0][hit] ^ mix(row[hit].astype(U64) + U64(1)))
             total += np.bincount(row[hit[first]], weights=weight[hit[first]], minlength=n)
-        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        return total
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -239,11 +244,12 @@ def shared_ids(texts: DataFrame, window: int = 5, hashes: int = 6) -> DataFrame:
     return texts.sparkSession.createDataFrame(kept, "doc_id long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, purity: float = 0.6) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, purity: float = 0.5) -> Model:
     """Language model of all ``docs``; word weights from at most ``most_labels`` labelled documents.
 
     Labels are (doc_id, toxic); the documents of the smallest hashes of doc_id
     are taken, of the training part alone (crc32 of doc_id modulo 5 is not 0).
+    Three quarters of them give the weights, the others the prior and slope.
     A word or prefix has a weight where toxic documents have it more often than
     chance allows, all words counted together (5 % of one false one), and where
     at least ``purity`` of the documents that have it are toxic. Of near copies
@@ -275,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, purity
         keys, sums = np.append(keys, U64(0)), np.concatenate([sums, total[None]])  # key 0: the documents
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], names=["h", "clean", "toxic"])
 
-    counted = texts.join(F.broadcast(single), "doc_id").select("text", "toxic").mapInArrow(run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    texts = texts.join(F.broadcast(single), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("_quarter"))
+    counted = texts.where("not _quarter").select("text", "toxic").mapInArrow(run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rows = counted.where("toxic >= 3 or h = 0").collect()
     clean, toxic = next(((r.clean, r.toxic) for r in rows if r.h == 0), (0, 0))
     if not toxic or not clean:
@@ -287,7 +294,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, purity
             if weight > 0 and (r.toxic + 0.5) / (r.toxic + r.clean + 1) >= purity:
                 chosen[r.h & ((1 << 64) - 1)] = weight
     keys = np.array(sorted(chosen), U64)
-    return Model(keys, np.array([chosen[int(k)] for k in keys]), math.log((toxic + 0.5) / (clean + 0.5)), logp)
+    model = Model(keys, np.array([chosen[int(k)] for k in keys]), math.log((toxic + 0.5) / (clean + 0.5)), logp)
+    return calibrated(model, texts.where("_quarter"))
+
+
+def calibrated(model: Model, texts: DataFrame, least: int = 5) -> Model:
+    """The model with prior and slope fitted (logistic regression) on a bounded table of other labelled texts; as it is where a class has too few."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        restorer = Restorer(shared.value.logp)
+        for batch, data, offsets in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.evidence(data, offsets, restorer)), batch.column("toxic")], names=["x", "toxic"])
+
+    rows = texts.select("text", "toxic").mapInArrow(run, "x double, toxic int").collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float)
+    if min(y.sum(), (1 - y).sum()) < least:
+        return model
+    design, w = np.stack([np.ones(len(x)), x], axis=1), np.array([model.prior, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-6, 0.5]), design.T @ (y - p) - np.array([0, 0.5]) * (w - [0, 1]))
+        w = w + np.clip(step, -2, 2)
+    return Model(model.keys, model.weights, float(w[0]), model.logp, max(0.05, float(w[1])))
 
 
 def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
