@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import bpe, decontaminate, langid, linededup, neardup, quality, tokenfiles, toxicity, warc
+from reliefspark.llm import bpe, decontaminate, langid, linededup, neardup, quality, sharding, tokenfiles, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe, "op3_tokens": tokenfiles.op3_tokens, "op5_langid": langid.op5_langid, "op6_neardup": neardup.op6_neardup, "op7_toxicity": toxicity.op7_toxicity, "op8_linededup": linededup.op8_linededup, "op9_quality": quality.op9_quality, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {"op1_warc": warc.op1_warc, "op2_bpe": bpe.op2_bpe, "op3_tokens": tokenfiles.op3_tokens, "op4_shards": sharding.op4_shards, "op5_langid": langid.op5_langid, "op6_neardup": neardup.op6_neardup, "op7_toxicity": toxicity.op7_toxicity, "op8_linededup": linededup.op8_linededup, "op9_quality": quality.op9_quality, "op10_decontaminate": decontaminate.op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
