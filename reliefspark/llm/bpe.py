@@ -479,10 +479,10 @@ def spellings(tokenizer: str) -> tuple[Spelling, Spelling]:
 ROUND_TRIP = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the text decoded from them, by document.
 
-    Ids are not kept: a digest of each side leaves the worker. Columns besides doc_id and text are left out.
+    Without ``with_ids`` only the digests of each side leave the worker. Columns besides doc_id and text are left out.
     """
 
     def run(batches):
@@ -495,9 +495,10 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> D
                 rows[0].append(hashlib.sha256(decimal[b[i] : max(b[i], b[i + 1] - 1)]).hexdigest())
                 text = str(decoded[a[i] : a[i + 1]], "utf-8", "replace")
                 rows[1].append(hashlib.sha256(text.encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), *(pa.array(r, pa.string()) for r in rows)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            lists = [pa.ListArray.from_arrays(bounds.astype(np.int32), ids.astype(np.int32))] * with_ids
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), *(pa.array(r, pa.string()) for r in rows), *lists], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {ROUND_TRIP}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {ROUND_TRIP}" + ", ids array<int>" * with_ids)
 
 
 def default_tokenizer() -> str:

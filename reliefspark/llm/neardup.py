@@ -291,6 +291,12 @@ def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, d
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def without_copies(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of each component, the one of the smallest doc_id. Rows that repeat a doc_id count as one document."""
+    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents on shingles of two words, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
