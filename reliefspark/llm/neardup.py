@@ -183,10 +183,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     Documents with equal sets are one class, named by its smallest doc_id. Where
     classes share a band, each is first compared with one class of its bands
     that is in another component (with another one in each of ``star_rounds``),
-    which joins large groups at a cost in proportion to their size. Then all
-    pairs of a band that still are in different components are compared, in
-    blocks, so no link between different texts is lost but to the bands' miss
-    rate. The estimate's ``margin`` is five standard errors for sets that fill
+    which joins large groups at a cost in proportion to their size. Then what
+    shares a band but no component yet is compared in blocks: every such member
+    with all members of a large component, and the pairs of small ones. So no
+    link between different texts is lost but to the bands' miss rate. The estimate's ``margin`` is five standard errors for sets that fill
     the buckets; smaller sets leave few elements out of their registers, so
     their estimates are closer.
 
@@ -219,7 +219,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
         found = written(verified(promising(pairs, sketches, floor_of(num, den, margin), num, den), sets, num, den), "links")
         links.append(found)
         labels = joined_labels(members, links)
-    rest = written(rest_pairs(members.join(labels, "id"), heads.select("id", "n_shingles", "regs", "filled", "bands"), floor_of(num, den, margin), num, den), "rest")
+    floor = floor_of(num, den, margin)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    placed = written(members.join(labels.join(sizes, "component"), "id"), "placed")
+    links.append(written(visiting_links(placed, labels, sketches.join(sets, "id"), floor, num, den), "links"))
+    small = placed.where(F.col("members") < LARGE).drop("members")
+    rest = written(rest_pairs(small, heads.select("id", "n_shingles", "regs", "filled", "bands"), floor, num, den), "rest")
     links.append(written(verified(rest, sets, num, den), "links"))
     final = components(reduce(DataFrame.union, links))
     classes = keyed.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))
@@ -239,6 +244,73 @@ def joined_labels(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return written(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed")
 
 
+#: Members from which a component is large.
+LARGE = 32
+
+
+def visiting_links(placed: DataFrame, labels: DataFrame, full: DataFrame, floor: float, num: int, den: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between members of large components and what shares a band with one of these.
+
+    ``placed``: band, id, component, members; ``full``: id, n_shingles, regs,
+    filled, set. A large component is dealt into blocks; each visitor is compared
+    with every block, first by the estimate, then on the full sets. Of a visitor
+    and a block one link is enough. A task holds one block; visitors pass by.
+    """
+    large = placed.where(F.col("members") >= LARGE).groupBy("band", "component").agg(F.first("members").alias("m")).select("band", F.col("component").alias("host"), "m")
+    # of two large components the smaller one's members visit
+    smaller = (F.col("members") < F.col("m")) | ((F.col("members") == F.col("m")) & (F.col("component") < F.col("host")))
+    visits = placed.join(large, "band").where((F.col("component") != F.col("host")) & smaller).select("id", "host", "m").distinct()
+    visits = written(visits, "visits")
+    hosts = visits.select("host", F.ceil(F.col("m") / block).cast("int").alias("blocks")).distinct()
+    at_home = labels.join(hosts.withColumnRenamed("host", "component"), "component").select("id", F.col("component").alias("host"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
+    guests = visits.join(hosts, "host").select("id", "host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
+    rows = at_home.union(guests).join(full, "id").repartition("host", "block").sortWithinPartitions("host", "block", "visitor")
+
+    def sketch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(len(batch), BUCKETS)
+        filled = np.unpackbits(np.frombuffer(b"".join(batch.column("filled").to_pylist()), np.uint8).reshape(len(batch), -1), axis=1).astype(bool)
+        sets = batch.column("set")
+        lo = sets.offsets.to_numpy()
+        return batch.column("id").to_numpy(), batch.column("n_shingles").to_numpy(), regs, filled, [sets.values.to_numpy()[a:b] for a, b in zip(lo[:-1], lo[1:], strict=True)]
+
+    def run(batches):
+        home, key, parts = None, None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("host", "block")])
+            guest = batch.column("visitor").to_numpy(zero_copy_only=False)
+            change = (keys[:, 1:] != keys[:, :-1]).any(0) | (guest[1:] != guest[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+            out: list[list[int]] = [[], []]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if tuple(keys[:, lo].tolist()) != key:
+                    home, key, parts = None, tuple(keys[:, lo].tolist()), []
+                if not guest[lo]:
+                    parts.append(sketch(part))
+                    continue
+                if home is None and parts:
+                    home = (*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:4]), [s for p in parts for s in p[4]])
+                    parts = []
+                if home is None:
+                    continue
+                ids, n, regs, filled, sets = home
+                for a, na, ra, fa, sa in zip(*sketch(part), strict=True):
+                    y = np.flatnonzero(den * np.minimum(n, na) >= num * np.maximum(n, na))
+                    if len(y):
+                        guess = estimates(np.concatenate([regs[y], ra[None]]), np.concatenate([filled[y], fa[None]]), np.append(n[y], na), np.arange(len(y)), np.full(len(y), len(y)))
+                        for k in y[np.argsort(-guess, kind="stable")][: int((guess >= floor).sum())].tolist():
+                            shared = len(np.intersect1d(sa, sets[k], assume_unique=True))
+                            if den * shared >= num * (len(sa) + len(sets[k]) - shared):
+                                out[0].append(min(int(a), int(ids[k])))
+                                out[1].append(max(int(a), int(ids[k])))
+                                break
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return rows.select("host", "block", "visitor", "id", "n_shingles", "regs", "filled", "set").mapInArrow(run, "a long, b long")
+
+
 def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, den: int, block: int = 2048) -> DataFrame:
     """Promising pairs that share a band but no component yet.
 

@@ -59,9 +59,12 @@ def test_tricky(tricky, no_documents):
     assert neardup.near_duplicates(no_documents).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_chains_and_groups(spark, rounds):
+@pytest.mark.parametrize(("rounds", "large"), [(0, 32), (2, 32), (1, 2)])
+def test_chains_and_groups(spark, rounds, large, monkeypatch):
     """Groups of near copies of near copies, with similarities on both sides of the limit, and short sets."""
+    monkeypatch.setattr(neardup, "LARGE", large)
+    plain = neardup.visiting_links
+    monkeypatch.setattr(neardup, "visiting_links", lambda *a: plain(*a, block=3))
     rng, rows = random.Random(3), []
     for _ in range(6):
         text = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([8, 12, 30, 120]))]
