@@ -1 +1 @@
-"""See the package README."""
+"""Focal functions as Column expressions and as NumPy kernels."""
