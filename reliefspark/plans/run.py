@@ -40,7 +40,7 @@ def compute(spark: SparkSession, source: str | DataFrame, functions: list[str],
     cells = focal(rows, meta, {f"v{i}": focal_function(f) for i, f in enumerate(functions)}, boundary=boundary, height=strip)
     columns = [f"v{i}" for i in range(len(functions))]
     gathered = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", *columns))).alias("x"))
-    return gathered.select("row", *(F.transform("x", lambda v, c=c: v[c]).alias(c) for c in columns)), meta
+    return gathered.select("row", *(F.col(f"x.{c}").alias(c) for c in columns)), meta
 
 
 def run(spark: SparkSession, source: str | DataFrame, outputs: list[str], functions: list[str], *, meta: RasterMeta | None = None, cellsize: float | None = None, boundary: str = "observed", strip: int | None = None, layout: str = "single", views: list[str] | None = None) -> float:

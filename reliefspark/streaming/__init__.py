@@ -18,7 +18,7 @@ def process_folder(spark: SparkSession, folder: str, to: str, functions: list[st
     The stream carries names alone; every file is then a job of its own, and one
     that is run again overwrites what it had written.
     """
-    names = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{asc,tif}").load(folder).select("path")
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{asc,tif}").load(folder).select("path")
 
     def batch(df, _: int) -> None:
         for (path,) in df.orderBy("path").select(F.col("path")).toLocalIterator():
