@@ -49,7 +49,9 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         out[i] = FOLDED + c % FOLD if unicodedata.category(chr(c))[0] == "L" else SPACE
     letter = out != SPACE
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of a run of spaces
+    keep[1:] |= letter[:-1]  # the first of a run of spaces, but not at a text's start
+    begins = bounds[:-1][bounds[1:] > bounds[:-1]]
+    keep[begins] = letter[begins]
     counts = np.zeros(len(out) + 1, np.int64)
     np.cumsum(letter, out=counts[1:])
     has = counts[bounds[1:]] > counts[bounds[:-1]]

@@ -142,9 +142,11 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[st
     letter = kind == 1
     odd = np.zeros(n + 1, np.int64)
     mark = np.zeros(n, np.int64)
-    mark[:-1] += 2 * ((kind[:-1] == 2) & letter[1:])
-    mark[2:] += 2 * (letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]))
-    mark[1:-1] += letter[:-2] & (kind[1:-1] >= 2) & letter[2:]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True  # what stands before belongs to another document
+    mark[:-1] += 2 * ((kind[:-1] == 2) & letter[1:] & ~edge[1:-1])
+    mark[2:] += 2 * (letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~edge[2:-1] & ~edge[1:-2])
+    mark[1:-1] += letter[:-2] & (kind[1:-1] >= 2) & letter[2:] & ~edge[1:-2] & ~edge[2:-1]
     np.cumsum(mark, out=odd[1:])
     score = odd[ends] - odd[starts]
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
