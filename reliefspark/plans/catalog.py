@@ -51,7 +51,9 @@ def rc(df: DataFrame, *columns: Column) -> DataFrame:
 
 
 def six(name: str, out: str | None = None) -> Column:
-    return F.round(F.col(name), 6).alias(out or name)
+    """Rounded to six places, with one zero: -0.0 is 0.0."""
+    rounded = F.round(F.col(name), 6)
+    return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded).alias(out or name)
 
 
 def focal_query(source: Callable, functions: list[str], names: list[str]) -> Callable:
@@ -243,7 +245,7 @@ def chain(cells: str, select: str, raw: bool = False) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    value = lambda cells, column, name: chain(cells, f"SELECT r, c, round({column}, 6) AS {name} FROM out_")
+    value = lambda cells, column, name: chain(cells, f"SELECT r, c, CASE WHEN round({column}, 6) = 0 THEN 0.0 ELSE round({column}, 6) END AS {name} FROM out_")
     part = f"WITH cells AS ({PART}) SELECT r, c, round(z, 3) AS z FROM cells"
     out = {}
     for f in ("slope", "aspect", "hillshade"):
