@@ -90,7 +90,7 @@ def test_models_sum_to_one(toy):
     every = np.unique(np.array([c for ts in TEXTS.values() for t in ts for c in [*fold_all(t), 32]], np.uint64))
     for context in ([32, 116, 104], [97, 98, 99], [120, 32, 100]):
         head = np.uint64((context[0] << 48) | (context[1] << 32) | (context[2] << 16))
-        total = np.exp(toy._log(head | every, 4).astype(float)).sum(0) + np.exp(toy._log(head | np.uint64(0xFFF0), 4).astype(float)).sum(0)
+        total = np.exp(toy._log(head | every, 4).astype(float)).sum(0) + np.exp(toy._log(np.array([head | np.uint64(0xFFF0)]), 4).astype(float)).sum(0)
         assert np.allclose(total, 1, atol=2e-3)
 
 
