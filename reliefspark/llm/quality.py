@@ -101,7 +101,7 @@ def line_table(docs: DataFrame, host: str) -> DataFrame:
     return written(rows.mapInArrow(run, LINES), "lines")
 
 
-def quality(docs: DataFrame, *, host: str = "source", min_docs: int = 20, share: float = 0.002, least_words: int = 10, least_share: float = 0.2) -> DataFrame:
+def quality(docs: DataFrame, *, host: str = "source", min_docs: int = 20, share: float = 0.002, least_words: int = 3, least_share: float = 0.2) -> DataFrame:
     """Metrics and verdict of each row of ``docs`` (doc_id, text and the column ``host``).
 
     A line is removed where more than ``min_docs`` documents of its host, and

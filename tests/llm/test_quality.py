@@ -20,7 +20,7 @@ def lower(s):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
 
 
-def brute(rows, min_docs, share, least_words=10, least_share=0.2):
+def brute(rows, min_docs, share, least_words=3, least_share=0.2):
     lines = [Counter(tuple(WORD.findall(lower(x))) for x in (t or "").split("\n") if WORD.search(x)) for _, t, _ in rows]
     n = Counter((h or "", x) for (_, _, h), own in zip(rows, lines, strict=True) for x in own)
     sizes = Counter(h or "" for _, _, h in rows)
