@@ -74,6 +74,11 @@ def run(spark: SparkSession, source: str | DataFrame, outputs: list[str], functi
     return took
 
 
+def layers(spark: SparkSession) -> list[str]:
+    """Names of the tables and views that ``spark.table`` can give to ``run``."""
+    return sorted(t.name for t in spark.catalog.listTables())
+
+
 def zonal(cells: DataFrame, zones: DataFrame, value: str) -> DataFrame:
     """Count, mean, least and greatest value by zone (an addition): ``zones`` has row, col and zone."""
     return cells.join(zones, ["row", "col"]).groupBy("zone").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -8,10 +8,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reliefspark.functions.focal import register_focal
 from reliefspark.meta import CELL_TYPES, RasterMeta
-from reliefspark.plans.run import run
+from reliefspark.operators import grid
+from reliefspark.plans.run import layers, mosaic, run, zonal
 from reliefspark.sources.raster import read_header, read_raster, write_raster
 from reliefspark.streaming import process_folder
 from tests.test_raster import HOLE, NAMES, N, frame, kernel_values
@@ -154,6 +156,25 @@ def test_run(spark, tmp_path):
             run(spark, source, outputs, functions)
 
 
+def test_run_over_a_table(spark, tmp_path):
+    frame(spark, HOLE).createOrReplaceTempView("hole")
+    assert "hole" in layers(spark)
+    out, meta = str(tmp_path / "t.tif"), RasterMeta(6, 5)
+    run(spark, spark.table("hole"), [out], ["hillshade"], meta=meta, strip=2, layout="single")
+    assert np.allclose(grid_of(spark, out), kernel_values(HOLE, meta)["hillshade"].astype(np.float32))
+    with pytest.raises(ValueError, match="header"):
+        run(spark, spark.table("hole"), [out], ["slope"])
+
+
+def test_zonal_and_mosaic(spark):
+    both = mosaic([frame(spark, HOLE), frame(spark, HOLE + 1)])
+    assert grid.dimensions(both).nrows == 10
+    cells = grid.cells_from_rows(both)
+    zones = cells.select("row", "col", (F.col("row") >= 5).alias("zone"))
+    found = {r.zone: r for r in zonal(cells, zones, "z").collect()}
+    assert found[True].n == 30 and found[True].hi == 6.0 and found[False].lo == N
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write_raster(frame(spark, HOLE), str(tmp_path / "in" / "a.tif"), RasterMeta(6, 5))
