@@ -17,9 +17,13 @@ from reliefspark.operators.strips import strip_rows, with_halo
 LETTERS = "abcdefghi"
 
 
+def fitting(rows: DataFrame, meta: RasterMeta) -> int:
+    return strip_rows(meta.ncols, nrows=meta.nrows, tasks=rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def neighbours(rows: DataFrame, meta: RasterMeta, height: int | None = None) -> DataFrame:
     """row, col and the raw cells a to i around each cell; null beyond the grid."""
-    strips = with_halo(rows, meta.nrows, height or strip_rows(meta.ncols))
+    strips = with_halo(rows, meta.nrows, height or fitting(rows, meta))
     within = Window.partitionBy("strip").orderBy("row")
     three = strips.select("row", "z", "is_halo", F.lag("z").over(within).alias("up"), F.lead("z").over(within).alias("down"))
     cells = three.where("not is_halo").select("row", "up", F.col("z").alias("own"), "down", F.posexplode("z").alias("col", "e"))
@@ -105,5 +109,5 @@ def focal_strips(rows: DataFrame, meta: RasterMeta, names: list[str], *, boundar
             yield compute(held)
 
     if "strip" not in rows.columns:  # a source that gives strips with their halo needs no shuffle
-        rows = with_halo(rows, meta.nrows, height or strip_rows(meta.ncols)).repartition("strip").sortWithinPartitions("strip", "row")
+        rows = with_halo(rows, meta.nrows, height or fitting(rows, meta)).repartition("strip").sortWithinPartitions("strip", "row")
     return rows.select("strip", "row", "is_halo", "z").mapInArrow(run, ", ".join(["row long", *(f"{c} array<double>" for c in columns)]))

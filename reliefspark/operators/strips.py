@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 STRIP_BYTES = 16 << 20
 
 
-def strip_rows(ncols: int, target_bytes: int = STRIP_BYTES) -> int:
-    """Rows of a strip: wide rasters have low strips, so that what one task holds stays bounded."""
-    return max(1, target_bytes // (8 * max(1, ncols)))
+def strip_rows(ncols: int, target_bytes: int = STRIP_BYTES, *, nrows: int = 0, tasks: int = 1) -> int:
+    """Rows of a strip: wide rasters have low strips, so that what one task holds stays bounded.
+
+    Of a raster of ``nrows`` that is too small to keep ``tasks`` busy so, strips
+    are lower, but not below 16 rows: each has two rows of halo.
+    """
+    height = max(1, target_bytes // (8 * max(1, ncols)))
+    return min(height, max(16, -(-nrows // (2 * tasks)))) if nrows else height
 
 
 def strip_of(row: Column, height: int) -> Column:

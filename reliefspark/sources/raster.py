@@ -213,10 +213,9 @@ def register(spark: SparkSession) -> None:
 def read_raster(spark: SparkSession, path: str, *, halo: bool = False, strip: int | None = None) -> tuple[DataFrame, RasterMeta]:
     """(rows, header) of a file."""
     register(spark)
-    reader = spark.read.format("raster").option("halo", str(halo).lower())
-    if strip:
-        reader = reader.option("stripRows", strip)
-    return reader.load(path), read_header(path)
+    meta = read_header(path)
+    strip = strip or strip_rows(meta.ncols, nrows=meta.nrows, tasks=spark.sparkContext.defaultParallelism)
+    return spark.read.format("raster").option("halo", str(halo).lower()).option("stripRows", strip).load(path), meta
 
 
 def write_raster(rows: DataFrame, path: str, meta: RasterMeta, *, mode: str = "overwrite", layout: str = "single", rows_per_strip: int | None = None) -> None:
@@ -225,7 +224,7 @@ def write_raster(rows: DataFrame, path: str, meta: RasterMeta, *, mode: str = "o
 
     register(rows.sparkSession)
     strip = rows_per_strip or max(1, (256 << 10) // (4 * max(1, meta.ncols)))
-    height = max(strip, strip_rows(meta.ncols) // strip * strip)
+    height = max(strip, strip_rows(meta.ncols, nrows=meta.nrows, tasks=rows.sparkSession.sparkContext.defaultParallelism) // strip * strip)
     parts = max(1, -(-meta.nrows // height))
     dealt = rows.select(F.col("row").cast("long").alias("row"), F.col("z").cast("array<float>").alias("z"), F.floor(F.col("row") / height).cast("int").alias("_p"))
     dealt = dealt.repartitionById(parts, "_p").sortWithinPartitions("row").drop("_p")
