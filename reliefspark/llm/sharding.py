@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from reliefspark.llm.shared import table, written
 
-#: Rows that one task numbers at once.
-BUCKET = 20_000
+def buckets(size: Column) -> Column:
+    """Into how many buckets ``size`` rows are dealt for numbering: the bucket grows with the square root, as does their number."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(size) / 10)).cast("long")
 
 
 def numbered(rows: DataFrame, keys: list[str], size: Column, order: list, out: str) -> DataFrame:
-    """Numbers rows from 0 for each of the ``keys`` in two steps: within hashed buckets of about BUCKET rows, then from the counts of the buckets before.
+    """Numbers rows from 0 for each of the ``keys`` in two steps: within hashed buckets, then from the counts of the buckets before.
 
     ``size``: about how many rows the row's key has. No key, however frequent, is sorted by one task.
     """
-    parted = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(size / BUCKET)).cast("long")))
+    parted = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id"), buckets(size)))
     by = [*keys, "_b"]
     counts = parted.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -48,7 +49,7 @@ def propagated(groups: DataFrame, quotas: list[int], rounds: int) -> tuple[DataF
     """
     shards = len(quotas)
     spread = groups.select("doc_id", "n", "g")
-    spread = spread.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(max(1, spread.count() // BUCKET))))
+    spread = spread.withColumn("_b", F.pmod(F.xxhash64("g"), buckets(F.lit(spread.count()))))
     sums = spread.groupBy("_b").agg(F.sum("n").alias("_s"))
     firsts = sums.select("_b", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     start = F.col("_first") + F.sum("n").over(Window.partitionBy("_b").orderBy("g")) - F.col("n")
@@ -104,7 +105,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataF
     blocks, held = propagated(groups, quotas, rounds)
 
     # where each block's documents begin: within the group, and within the shard
-    bucket = F.pmod(F.xxhash64("g"), F.lit(max(1, blocks.count() // BUCKET)))
+    bucket = F.pmod(F.xxhash64("g"), buckets(F.lit(blocks.count())))
     placed = blocks.withColumn("_b", bucket)
     sums = placed.groupBy("shard", "_b").agg(F.sum("n").alias("_s"))
     firsts = sums.select("shard", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))

@@ -31,7 +31,7 @@ def test_query(spark, sf, documents):
 
 @pytest.mark.parametrize("shards", [3, 7])
 def test_groups_stay_together(spark, shards, monkeypatch):
-    monkeypatch.setattr(sharding, "BUCKET", 10)
+    monkeypatch.setattr(sharding, "buckets", lambda size: sharding.F.greatest(sharding.F.lit(1), sharding.F.ceil(size / 10)).cast("long"))
     texts = ["hot"] * 90 + [f"pair {i // 2}" for i in range(60)] + [f"five {i // 5}" for i in range(50)] + [f"one {i}" for i in range(103)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "", "", "", "") for i, t in enumerate(texts)], DOCUMENTS)
     sizes, used = check(sharding.balanced_shards(docs, shards).collect(), list(enumerate(texts)), shards)
