@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.meta import RasterMeta
+from reliefspark.meta import RasterMeta, output_path
 from reliefspark.operators import grid, stencil, strips
 from reliefspark.plans.run import run
 from reliefspark.sources.ascii_grid import ascii_text
+from reliefspark.sources.files import scratch_dir, store_of
 from reliefspark.sources.raster import read_raster, write_raster
 
 NODATA, STRIP = -9999.0, 16
@@ -136,15 +134,6 @@ def custom_focal_pandas(spark, sf_dir):
     return rc(found.select("row", F.posexplode("v0").alias("col", "value")), six("value"))
 
 
-def _scratch(name: str) -> str:
-    """A folder of this process; these queries write a table's raster as a file and read it back."""
-    folder = os.path.join(tempfile.gettempdir(), f"reliefspark-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, name)
-    shutil.rmtree(path, ignore_errors=True)
-    return path
-
-
 def _file_cells(spark, path: str) -> DataFrame:
     rows, _ = read_raster(spark, path, strip=8)
     return rc(grid.cells_from_rows(rows), F.round(F.col("z").cast("double"), 3).alias("z"))
@@ -154,34 +143,36 @@ def _ascii(spark, sf_dir, path: str) -> RasterMeta:
     rows, meta = part_rows(spark, sf_dir)
     # a small fixture that is made into one text file; reading it is what is asked
     z = np.array([r.z for r in rows.orderBy("row").toLocalIterator()])
-    with open(path, "w") as f:
-        f.write(ascii_text(meta, z))
+    store, name = store_of(path)
+    with store.open_output_stream(name) as f:
+        f.write(ascii_text(meta, z).encode())
     return meta
 
 
 def scan_ascii_grid(spark, sf_dir):
-    path = _scratch("part.asc")
+    path = f"{scratch_dir(spark)}/part.asc"
     _ascii(spark, sf_dir, path)
     return _file_cells(spark, path)
 
 
 def scan_geotiff(spark, sf_dir):
     rows, meta = part_rows(spark, sf_dir)
-    path = _scratch("part.tif")
+    path = f"{scratch_dir(spark)}/part.tif"
     write_raster(rows, path, meta)
     return _file_cells(spark, path)
 
 
 def sink_geotiff_roundtrip(spark, sf_dir):
     rows, meta = part_rows(spark, sf_dir)
-    path = _scratch("part_strips.tif")
+    path = f"{scratch_dir(spark)}/part_strips.tif"
     write_raster(rows, path, meta, rows_per_strip=3)
     write_raster(read_raster(spark, path)[0], path.replace("strips", "again"), meta, rows_per_strip=7)
     return _file_cells(spark, path.replace("strips", "again"))
 
 
 def scan_format_dispatch(spark, sf_dir):
-    asc, tif = _scratch("both.asc"), _scratch("both.tif")
+    folder = scratch_dir(spark)
+    asc, tif = f"{folder}/both.asc", f"{folder}/both.tif"
     meta = _ascii(spark, sf_dir, asc)
     write_raster(read_raster(spark, asc)[0], tif, meta)
     both = [_file_cells(spark, p).withColumn("format", F.lit(p[-3:])) for p in (asc, tif)]
@@ -191,7 +182,8 @@ def scan_format_dispatch(spark, sf_dir):
 def run_slope_file(spark, sf_dir):
     """The whole way from a file to a file: scan with halo, kernel, sink, scan."""
     rows, meta = part_rows(spark, sf_dir)
-    source, out = _scratch("in.tif"), _scratch("in_slope.tif")
+    folder = scratch_dir(spark)
+    source, out = f"{folder}/in.tif", output_path(folder, "in.tif", "slope")
     write_raster(rows, source, meta)
     run(spark, source, [out], ["slope"], strip=8)
     return _file_cells(spark, out)
