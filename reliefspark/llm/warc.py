@@ -21,7 +21,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.llm.shared import fresh_dir, local_or_remote, table, written
@@ -289,5 +289,4 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     and no rows.
     """
     manifest = write_warc(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
-    kept: list[Column] = [F.col(c) for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")]
-    return read_warc(spark, manifest, payloads=False).select(*kept)
+    return read_warc(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
