@@ -234,13 +234,14 @@ class Transducer:
 
 @lru_cache(4)
 def mapped(uri: str) -> Transducer:
-    """The transducer at a URI, mapped into memory; a remote file is copied to this machine first."""
+    """The transducer at a URI, mapped into memory; of a remote file a copy, which is unlinked at once, is mapped."""
     store, path = local_or_remote(uri)
-    if store.type_name != "local":
-        with tempfile.NamedTemporaryFile(delete=False) as f, store.open_input_file(path) as source:
-            f.write(source.read())
-        path = f.name
-    with open(path, "rb") as f:
+    if store.type_name == "local":
+        with open(path, "rb") as f:
+            return Transducer.view(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    with tempfile.TemporaryFile() as f, store.open_input_file(path) as source:
+        f.write(source.read())
+        f.flush()
         return Transducer.view(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
