@@ -224,8 +224,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     placed = written(members.join(labels.join(sizes, "component"), "id"), "placed")
     links.append(written(visiting_links(placed, labels, sketches.join(sets, "id"), floor, num, den), "links"))
     small = placed.where(F.col("members") < LARGE).drop("members")
-    rest = written(rest_pairs(small, heads.select("id", "n_shingles", "regs", "filled", "bands"), floor, num, den), "rest")
-    links.append(written(verified(rest, sets, num, den), "links"))
+    edges = weak_edges(small, heads.select("id", "n_shingles", "regs", "filled"), floor, num, den)
+    weak = components(edges).select(F.col("id").alias("component"), F.col("component").alias("host"))
+    links.append(written(cluster_links(labels.join(weak, "component"), sketches.join(sets, "id"), floor, num, den), "links"))
     final = components(reduce(DataFrame.union, links))
     classes = keyed.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
@@ -252,18 +253,39 @@ def visiting_links(placed: DataFrame, labels: DataFrame, full: DataFrame, floor:
     """Links (a, b) between members of large components and what shares a band with one of these.
 
     ``placed``: band, id, component, members; ``full``: id, n_shingles, regs,
-    filled, set. A large component is dealt into blocks; each visitor is compared
-    with every block, first by the estimate, then on the full sets. Of a visitor
-    and a block one link is enough. A task holds one block; visitors pass by.
+    filled, set. A large component is dealt into blocks, and each visitor goes to
+    every block.
     """
     large = placed.where(F.col("members") >= LARGE).groupBy("band", "component").agg(F.first("members").alias("m")).select("band", F.col("component").alias("host"), "m")
     # of two large components the smaller one's members visit
     smaller = (F.col("members") < F.col("m")) | ((F.col("members") == F.col("m")) & (F.col("component") < F.col("host")))
-    visits = placed.join(large, "band").where((F.col("component") != F.col("host")) & smaller).select("id", "host", "m").distinct()
+    visits = placed.join(large, "band").where((F.col("component") != F.col("host")) & smaller).select("id", "component", "host", "m").distinct()
     visits = written(visits, "visits")
     hosts = visits.select("host", F.ceil(F.col("m") / block).cast("int").alias("blocks")).distinct()
-    at_home = labels.join(hosts.withColumnRenamed("host", "component"), "component").select("id", F.col("component").alias("host"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
-    guests = visits.join(hosts, "host").select("id", "host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
+    at_home = labels.join(hosts.withColumnRenamed("host", "component"), "component").select("id", "component", F.col("component").alias("host"), "blocks")
+    guests = visits.join(hosts, "host").select("id", "component", "host", "blocks")
+    return block_links(at_home, guests, full, floor, num, den)
+
+
+def cluster_links(members: DataFrame, full: DataFrame, floor: float, num: int, den: int, block: int = 1 << 19) -> DataFrame:
+    """Links between different components of each cluster: ``members`` has id, component and host (the cluster).
+
+    A cluster is dealt into blocks of about ``block`` shingles, and all its members visit each.
+    """
+    sizes = members.join(full.select("id", "n_shingles"), "id").groupBy("host").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "host").select("id", "component", "host", "blocks")
+    return block_links(rows, rows, full, floor, num, den, twice=True)
+
+
+def block_links(at_home: DataFrame, guests: DataFrame, full: DataFrame, floor: float, num: int, den: int, twice: bool = False) -> DataFrame:
+    """Links (a, b) of guests with what is at home in the blocks of their host, in another component than theirs.
+
+    Both have id, component, host and blocks (how many the host has). Pairs are
+    compared by the estimate and then on the full sets; of a guest and a
+    component in a block one link is enough. A task holds one block, guests pass by.
+    """
+    at_home = at_home.select("id", "component", "host", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
+    guests = guests.select("id", "component", "host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
     rows = at_home.union(guests).join(full, "id").repartition("host", "block").sortWithinPartitions("host", "block", "visitor")
 
     def sketch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -271,7 +293,7 @@ def visiting_links(placed: DataFrame, labels: DataFrame, full: DataFrame, floor:
         filled = np.unpackbits(np.frombuffer(b"".join(batch.column("filled").to_pylist()), np.uint8).reshape(len(batch), -1), axis=1).astype(bool)
         sets = batch.column("set")
         lo = sets.offsets.to_numpy()
-        return batch.column("id").to_numpy(), batch.column("n_shingles").to_numpy(), regs, filled, [sets.values.to_numpy()[a:b] for a, b in zip(lo[:-1], lo[1:], strict=True)]
+        return batch.column("id").to_numpy(), batch.column("component").to_numpy(), batch.column("n_shingles").to_numpy(), regs, filled, [sets.values.to_numpy()[a:b] for a, b in zip(lo[:-1], lo[1:], strict=True)]
 
     def run(batches):
         home, key, parts = None, None, []
@@ -291,34 +313,37 @@ def visiting_links(placed: DataFrame, labels: DataFrame, full: DataFrame, floor:
                     parts.append(sketch(part))
                     continue
                 if home is None and parts:
-                    home = (*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:4]), [s for p in parts for s in p[4]])
+                    home = (*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:5]), [s for p in parts for s in p[5]])
                     parts = []
                 if home is None:
                     continue
-                ids, n, regs, filled, sets = home
-                for a, na, ra, fa, sa in zip(*sketch(part), strict=True):
-                    y = np.flatnonzero(den * np.minimum(n, na) >= num * np.maximum(n, na))
+                ids, comp, n, regs, filled, sets = home
+                for a, ca, na, ra, fa, sa in zip(*sketch(part), strict=True):
+                    y = np.flatnonzero((comp != ca) & (den * np.minimum(n, na) >= num * np.maximum(n, na)))
                     if len(y):
                         guess = estimates(np.concatenate([regs[y], ra[None]]), np.concatenate([filled[y], fa[None]]), np.append(n[y], na), np.arange(len(y)), np.full(len(y), len(y)))
+                        joined: set[int] = set()
                         for k in y[np.argsort(-guess, kind="stable")][: int((guess >= floor).sum())].tolist():
+                            # each pair of a cluster meets twice; the smaller component's member looks at it
+                            if int(comp[k]) in joined or (twice and comp[k] < ca):
+                                continue
                             shared = len(np.intersect1d(sa, sets[k], assume_unique=True))
                             if den * shared >= num * (len(sa) + len(sets[k]) - shared):
                                 out[0].append(min(int(a), int(ids[k])))
                                 out[1].append(max(int(a), int(ids[k])))
-                                break
+                                joined.add(int(comp[k]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return rows.select("host", "block", "visitor", "id", "n_shingles", "regs", "filled", "set").mapInArrow(run, "a long, b long")
+    return rows.select("host", "block", "visitor", "id", "component", "n_shingles", "regs", "filled", "set").mapInArrow(run, "a long, b long")
 
 
-def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, den: int, block: int = 2048) -> DataFrame:
-    """Promising pairs that share a band but no component yet.
+def weak_edges(placed: DataFrame, sketches: DataFrame, floor: float, num: int, den: int, block: int = 2048) -> DataFrame:
+    """Edges (a, b) between components that have promising pairs in some band: of each group that is compared, a spanning forest.
 
     Bands whose members are in one component are done. Of the others, members
     are dealt into blocks of about ``block``, and each pair of blocks is compared
-    in one group: the registers of two blocks are all that a task holds, and
-    only pairs that pass the estimate are put out, each in the first band alone
-    that both have.
+    in one group: the registers of two blocks are all that a task holds, and it
+    puts out fewer edges than it has members.
     """
     open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     dealt = placed.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -331,18 +356,26 @@ def rest_pairs(placed: DataFrame, sketches: DataFrame, floor: float, num: int, d
         ids, comp, own, n = (t.column(c).to_numpy() for c in ("id", "component", "own", "n_shingles"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
         filled = np.unpackbits(np.frombuffer(b"".join(t.column("filled").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(bool)
-        bands = t.column("bands").combine_chunks().values.to_numpy().reshape(len(ids), BANDS)
-        before = int(np.flatnonzero(bands[0] == t.column("band")[0].as_py())[0])
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
         out_a, out_b = [], []
         for x in range(len(ids)):
             y = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((own != own[x]) if not diagonal else True) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
             if len(y):
                 y = y[estimates(regs, filled, n, np.full(len(y), x), y) >= floor]
-                y = y[~(bands[y, :before] == bands[x, :before]).any(1)]
-                out_a.append(np.full(len(y), ids[x]))
-                out_b.append(ids[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                for c in np.unique(comp[y]).tolist():
+                    a, b = top(int(comp[x])), top(c)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out_a.append(a)
+                        out_b.append(b)
+        return pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     def run(batches):
         held, at = [], None

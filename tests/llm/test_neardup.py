@@ -63,8 +63,9 @@ def test_tricky(tricky, no_documents):
 def test_chains_and_groups(spark, rounds, large, monkeypatch):
     """Groups of near copies of near copies, with similarities on both sides of the limit, and short sets."""
     monkeypatch.setattr(neardup, "LARGE", large)
-    plain = neardup.visiting_links
+    plain, cluster = neardup.visiting_links, neardup.cluster_links
     monkeypatch.setattr(neardup, "visiting_links", lambda *a: plain(*a, block=3))
+    monkeypatch.setattr(neardup, "cluster_links", lambda *a: cluster(*a, block=100))
     rng, rows = random.Random(3), []
     for _ in range(6):
         text = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([8, 12, 30, 120]))]
@@ -87,8 +88,8 @@ def test_small_blocks(spark, monkeypatch):
             text[rng.randrange(60)] = f"x{rng.randrange(900)}"
         rows.append((k, " ".join(text)))
     docs = spark.createDataFrame([(*r, "en", "s", 0, "", "", "", "") for r in rows], DOCUMENTS)
-    plain = neardup.rest_pairs
-    monkeypatch.setattr(neardup, "rest_pairs", lambda *a: plain(*a, block=7))
+    plain = neardup.weak_edges
+    monkeypatch.setattr(neardup, "weak_edges", lambda *a: plain(*a, block=7))
     assert got(neardup.near_duplicates(docs, size=2, star_rounds=0)) == brute(rows, 2)
 
 
