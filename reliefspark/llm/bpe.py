@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reliefspark.llm.shared import fresh_dir, local_or_remote, table, written
-from reliefspark.llm.textkit import SPACES, grouped, hash_spans, not_in, ragged, slices, strings
+from reliefspark.llm.textkit import SPACES, grouped, hash_spans, not_in, ragged, release, slices, strings
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -421,14 +421,18 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = 1 << 16) -> str:
         if held > size:
             break
         least = step
-    top = counts.where(F.col("step") >= least).select("word").collect()
-    words = [r.word for r in top if not any(t in r.word for t in vocab.added)]
+    top = counts.where(F.col("step") >= least).select("word").toArrow().column("word").to_pylist()
+    words = [w for w in top if not any(t in w for t in vocab.added)]
     data = Transducer.build([(w.encode("utf-8"), vocab.encode(w)) for w in words]).dump()
     uri = fresh_dir(docs.sparkSession, "lexicon")
     store, folder = local_or_remote(uri)
     store.create_dir(folder, recursive=True)
     with store.open_output_stream(f"{folder}/words.mat") as f:
         f.write(data)
+    # the driver has no further use of what building took
+    vocabulary.cache_clear()
+    del vocab, top, words, data
+    release()
     return f"{uri}/words.mat"
 
 

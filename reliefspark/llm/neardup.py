@@ -177,7 +177,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, floor: float, num: int, den
     return joined.select("a", "b", "na", "nb", "ra", "rb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, star_rounds: int = 4, margin: float = 0.16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3, margin: float = 0.16) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
     Documents with equal sets are one class, named by its smallest doc_id. Where

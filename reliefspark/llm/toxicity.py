@@ -285,18 +285,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, purity
 
     texts = texts.join(F.broadcast(single), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("_quarter"))
     counted = texts.where("not _quarter").select("text", "toxic").mapInArrow(run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = counted.where("toxic >= 3 or h = 0").collect()
-    clean, toxic = next(((r.clean, r.toxic) for r in rows if r.h == 0), (0, 0))
+    found = counted.where("toxic >= 3 or h = 0").toArrow()
+    h, neg, pos = (found.column(c).to_numpy() for c in ("h", "clean", "toxic"))
+    clean, toxic = int(neg[h == 0].sum()), int(pos[h == 0].sum())
     if not toxic or not clean:
         return Model(np.zeros(0, U64), np.zeros(0), math.log((toxic + 0.5) / (clean + 0.5)), logp)
-    rate, chosen = toxic / (toxic + clean), {}
-    for r in rows:
-        if r.h and tail(r.toxic, r.toxic + r.clean, rate) * len(rows) < 0.05:
-            weight = math.log((r.toxic + 0.5) / (toxic + 1)) - math.log((r.clean + 0.5) / (clean + 1))
-            if weight > 0 and (r.toxic + 0.5) / (r.toxic + r.clean + 1) >= purity:
-                chosen[r.h & ((1 << 64) - 1)] = weight
-    keys = np.array(sorted(chosen), U64)
-    model = Model(keys, np.array([chosen[int(k)] for k in keys]), math.log((toxic + 0.5) / (clean + 0.5)), logp)
+    rate = toxic / (toxic + clean)
+    weight = np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1))
+    likely = np.flatnonzero((h != 0) & (weight > 0) & ((pos + 0.5) / (pos + neg + 1) >= purity))
+    chosen = np.array([i for i in likely.tolist() if tail(int(pos[i]), int(pos[i] + neg[i]), rate) * len(h) < 0.05], np.int64)
+    keys = h[chosen].view(U64)
+    chosen, keys = chosen[np.argsort(keys)], np.sort(keys)
+    model = Model(keys, weight[chosen], math.log((toxic + 0.5) / (clean + 0.5)), logp)
     return calibrated(model, texts.where("_quarter"))
 
 
