@@ -404,4 +404,4 @@ def without_copies(docs: DataFrame, **how) -> DataFrame:
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents on shingles of two words, similarity 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, star_rounds=4)
