@@ -281,8 +281,9 @@ def block_links(at_home: DataFrame, guests: DataFrame, full: DataFrame, floor: f
     """Links (a, b) of guests with what is at home in the blocks of their host, in another component than theirs.
 
     Both have id, component, host and blocks (how many the host has). Pairs are
-    compared by the estimate and then on the full sets; of a guest and a
-    component in a block one link is enough. A task holds one block, guests pass by.
+    compared by the estimate and then on the full sets, unless links of the same
+    block have joined their components already; so a block puts out fewer links
+    than it has components. A task holds one block, guests pass by.
     """
     at_home = at_home.select("id", "component", "host", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
     guests = guests.select("id", "component", "host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
@@ -297,6 +298,14 @@ def block_links(at_home: DataFrame, guests: DataFrame, full: DataFrame, floor: f
 
     def run(batches):
         home, key, parts = None, None, []
+        root: dict[int, int] = {}  # which components the links of the block have joined
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("host", "block")])
             guest = batch.column("visitor").to_numpy(zero_copy_only=False)
@@ -309,6 +318,7 @@ def block_links(at_home: DataFrame, guests: DataFrame, full: DataFrame, floor: f
                 part = batch.slice(lo, hi - lo)
                 if tuple(keys[:, lo].tolist()) != key:
                     home, key, parts = None, tuple(keys[:, lo].tolist()), []
+                    root.clear()
                 if not guest[lo]:
                     parts.append(sketch(part))
                     continue
@@ -322,16 +332,15 @@ def block_links(at_home: DataFrame, guests: DataFrame, full: DataFrame, floor: f
                     y = np.flatnonzero((comp != ca) & (den * np.minimum(n, na) >= num * np.maximum(n, na)))
                     if len(y):
                         guess = estimates(np.concatenate([regs[y], ra[None]]), np.concatenate([filled[y], fa[None]]), np.append(n[y], na), np.arange(len(y)), np.full(len(y), len(y)))
-                        joined: set[int] = set()
                         for k in y[np.argsort(-guess, kind="stable")][: int((guess >= floor).sum())].tolist():
                             # each pair of a cluster meets twice; the smaller component's member looks at it
-                            if int(comp[k]) in joined or (twice and comp[k] < ca):
+                            if (twice and comp[k] < ca) or (mine := top(int(ca))) == (other := top(int(comp[k]))):
                                 continue
                             shared = len(np.intersect1d(sa, sets[k], assume_unique=True))
                             if den * shared >= num * (len(sa) + len(sets[k]) - shared):
                                 out[0].append(min(int(a), int(ids[k])))
                                 out[1].append(max(int(a), int(ids[k])))
-                                joined.add(int(comp[k]))
+                                root[mine] = other
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     return rows.select("host", "block", "visitor", "id", "component", "n_shingles", "regs", "filled", "set").mapInArrow(run, "a long, b long")
