@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks, in DataFrame functions alone.
+"""Line dedup in DataFrame functions alone.
 
-A rolling hash over each line and the one before it chooses where chunks end, so
-that a passage is cut alike wherever it stands; a line of many words is a chunk
-of its own. Chunks that come again anywhere are compared byte by byte with their
-first occurrence, together with the lines around them, and removed there.
+A rolling hash over each line and those before it is looked up at every line, so
+that a passage is found wherever it stands; a line of many words is looked up
+by itself too. What comes again anywhere is compared byte by byte with its first
+occurrence, and removed.
 """
 
 from __future__ import annotations
@@ -26,103 +26,69 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_mark": F.xxhash64("text")})
 
 
-def chunked(docs: DataFrame, divisor: int, long_words: int, longest: int) -> DataFrame:
-    """(_id, _mark, lines, starts): where chunks begin, counted from 0.
+def windows(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """(_id, _mark, w): the least stretches of each document that count when they come again.
 
-    A chunk ends before and after a line of ``long_words`` words, where the
-    rolling hash of two lines is divisible by ``divisor``, and at each line whose
-    number is divisible by ``longest``.
+    These are any ``min_lines`` lines of which one has a word, fewer lines of
+    ``min_words`` words, and two lines with words that so many empty ones part
+    that the other windows don't reach across. Each has a start (from 0), n and h.
     """
     lines = docs.select("_id", "_mark", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") > 0)
     hashed = lines.withColumns({"_h": F.transform("lines", lambda x: F.xxhash64(x)), "_w": F.transform("lines", n_words)})
-
-    def begins(i: Column) -> Column:
-        """Whether a chunk begins at line i > 0, by lines i - 2 to i."""
-        at = lambda c, k: F.get(c, k)
-        roll = F.xxhash64(F.coalesce(at("_h", i - 2), F.lit(0)), at("_h", i - 1))
-        return (F.pmod(roll, F.lit(divisor)) == 0) | (at("_w", i - 1) >= long_words) | (at("_w", i) >= long_words) | (i % longest == 0)
-
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | begins(i))
-    return hashed.withColumn("starts", starts).drop("_h")
-
-
-def pieces(chunks: DataFrame) -> Column:
-    """Array of (k, start, n, words, text) of each chunk."""
-    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
-
-    def piece(start: Column, k: Column) -> Column:
-        n = end(k) - start
-        words = F.aggregate(F.slice("_w", start + 1, n), F.lit(0), lambda a, x: a + x)
-        return F.struct(k.alias("k"), start.alias("start"), n.alias("n"), words.alias("words"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("text"))
-
-    return F.transform("starts", piece)
-
-
-def same_head(a: Column, b: Column) -> Column:
-    """How many elements two arrays have alike from the first on."""
-    pairs = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.coalesce(F.array_position(pairs, False) - F.when(F.array_position(pairs, False) > 0, 1).otherwise(-F.size(pairs)), F.lit(0)).cast("int")
-
-
-def repeated_lines(docs: DataFrame, divisor: int = 2, long_words: int = 25, min_lines: int = 2, min_words: int = 50, longest: int = 256) -> DataFrame:
-    """(_id, _mark, gone): numbers of the lines to remove from each document that has such.
-
-    What is looked for are chunks of ``min_lines`` lines or a long line. The
-    smallest (doc_id, place) keeps each; others lose it with the equal lines next
-    to it, where that makes ``min_lines`` lines or ``min_words`` words, or where a
-    chunk next to it comes again too. Hashes
-    find candidates in narrow rows, summed up before the shuffle; texts of
-    chunks that come again are then shuffled once and compared.
+    window = lambda i, n: F.struct(i.cast("int").alias("start"), F.lit(n).cast("int").alias("n"), F.xxhash64(F.slice("_h", i + 1, n)).alias("h"))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+
+    def of(n: int) -> Column:
+        """All windows of ``n`` lines; places past the end have no words that could be counted."""
+        held = lambda i: sum((F.get("_w", i + k) for k in range(1, n)), F.get("_w", i)) >= (1 if n == min_lines else min_words)
+        return F.transform(F.filter(places, lambda i: F.coalesce(held(i), F.lit(False))), lambda i: window(i, n))
+
+    found = [of(n) for n in range(1, min_lines + 1)]
+    with_word = hashed.withColumn("_at", F.filter(places, lambda i: F.get("_w", i) > 0))
+    apart = F.filter(F.transform("_at", lambda i, k: F.struct(i.alias("i"), (F.get("_at", k + 1) - i + 1).alias("n"))), lambda x: x["n"] > 2 * min_lines)
+    found.append(F.transform(apart, lambda x: window(x["i"], x["n"])))
+    # unfolded as an expression: of a column, Spark would infer a filter and push it below the hashes, which every line would then compute anew
+    return with_word.select("_id", "_mark", F.explode(F.concat(*found)).alias("w"))
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
+    """(_id, _mark, gone, chunks): numbers of the lines to remove from each document that has such, and how many stretches they make.
+
+    A maximal run of lines that an earlier place has too goes where it has
+    ``min_lines`` lines or ``min_words`` words, with at most ``min_lines`` - 1
+    lines without a word at either end. Such a run is covered by windows that
+    come again, and a window that comes again lies in such a run; so windows
+    alone are looked up. The smallest (doc_id, place) keeps each, and with it
+    every line stays where it comes first. Hashes find candidates in narrow
+    rows, summed up before the shuffle; the lines of windows that come again
+    are then shuffled once and compared.
     """
     docs = keyed(docs).select("_id", "_mark", "text")
-    sought = (F.col("p.n") >= min_lines) | (F.col("p.words") >= long_words)
-    cut = chunked(docs, divisor, long_words, longest)
-    narrow = cut.select("_id", "_mark", F.explode(pieces(cut)).alias("p")).where(sought & (F.col("p.words") > 0)).select(F.struct("_id", "_mark", "p.k").alias("at"), F.xxhash64("p.text").alias("h"))
-    narrow = written(narrow, "chunks")
+    narrow = windows(docs, min_lines, min_words).select(F.struct("_id", "_mark", "w.start", "w.n").alias("at"), "w.h")
+    narrow = written(narrow, "windows")
     firsts = narrow.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("h", "first")
     again = written(narrow.join(firsts, "h").where("at <> first").select("at", "first").distinct(), "again")
 
-    own = again.groupBy("at._id", "at._mark").agg(F.collect_list(F.struct("at.k", "first")).alias("mine"))
-    asked = again.select("first").distinct().groupBy("first._id", "first._mark").agg(F.collect_set("first.k").alias("asked"))
+    own = again.groupBy("at._id", "at._mark").agg(F.collect_list(F.struct("at.start", "at.n", "first")).alias("mine"))
+    asked = again.select("first").distinct().groupBy("first._id", "first._mark").agg(F.collect_list(F.struct("first.start", "first.n")).alias("asked"))
     needs = own.join(asked, ["_id", "_mark"], "full")
-    # what leaves a document: its repeated chunks, and those that others are compared with, with the chunks next to them
-    held = chunked(docs.join(needs, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).select("_id", "_mark", "text"), divisor, long_words, longest).join(needs, ["_id", "_mark"])
-    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
-    begin = lambda k: F.get("starts", k)
-    part = lambda a, b: F.slice("lines", a + 1, F.greatest(b - a, F.lit(0)))
-
-    own_k = F.transform("mine", lambda x: x["k"])
-
-    def piece(k: Column, left: Column, right: Column) -> list[Column]:
-        """A chunk, and the lines before (from the last on) and after it where ``left`` and ``right`` ask for them."""
-        before = F.coalesce(F.get("starts", k - 1), F.lit(0))
-        none = F.array().cast("array<string>")
-        return [begin(k).alias("start"), part(begin(k), end(k)).alias("body"), F.when(left, F.reverse(part(before, begin(k)))).otherwise(none).alias("left"), F.when(right, part(end(k), end(k + 1))).otherwise(none).alias("right")]
-
-    def of_mine(x: Column) -> Column:
-        # a chunk next to it that comes again too is compared on its own
-        left, right = F.array_contains(own_k, x["k"] - 1), F.array_contains(own_k, x["k"] + 1)
-        return F.struct((left | right).alias("joined"), F.lit(False).alias("whole"), x["first"].alias("key"), x["k"].alias("k"), *piece(x["k"], ~left, ~right))
-
-    mine = F.transform("mine", of_mine)
-    yes = F.lit(True)
-    theirs = F.transform("asked", lambda k: F.struct(F.lit(False).alias("joined"), yes.alias("whole"), F.struct("_id", "_mark", k.alias("k")).alias("key"), k.alias("k"), *piece(k, yes, yes)))
-    empty = F.array().cast(theirs_type())
+    # what leaves a document: its windows that come again, and those that others are compared with
+    held = docs.join(needs, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).withColumn("lines", F.split("text", "\n", -1))
+    body = lambda x: F.slice("lines", x["start"] + 1, x["n"]).alias("body")
+    mine = F.transform("mine", lambda x: F.struct(F.lit(False).alias("whole"), x["first"].alias("key"), x["start"].alias("start"), body(x)))
+    theirs = F.transform("asked", lambda x: F.struct(F.lit(True).alias("whole"), F.struct("_id", "_mark", x["start"].alias("start"), x["n"].alias("n")).alias("key"), x["start"].alias("start"), body(x)))
+    empty = F.array().cast("array<struct<whole:boolean,key:struct<_id:bigint,_mark:bigint,start:int,n:int>,start:int,body:array<string>>>")
     both = held.select("_id", "_mark", F.explode(F.concat(F.coalesce(mine, empty), F.coalesce(theirs, empty))).alias("p")).select("_id", "_mark", "p.*")
     both = written(both, "pieces")
-    wholes = both.where("whole").select("key", *(F.col(c).alias(f"o_{c}") for c in ("body", "left", "right")))
+    wholes = both.where("whole").select("key", F.col("body").alias("o_body"))
     equal = both.where("not whole").join(wholes, "key").where(F.col("body") == F.col("o_body"))
-    spans = equal.select("_id", "_mark", "joined", (F.col("start") - same_head(F.col("left"), F.col("o_left"))).alias("a"), (F.col("start") + F.size("body") + same_head(F.col("right"), F.col("o_right"))).alias("b"), F.aggregate(F.concat("body", F.slice("left", F.lit(1), same_head(F.col("left"), F.col("o_left"))), F.slice("right", F.lit(1), same_head(F.col("right"), F.col("o_right")))), F.lit(0), lambda n, x: n + n_words(x)).alias("words"))
-    found = spans.where(F.col("joined") | (F.col("b") - F.col("a") >= min_lines) | (F.col("words") >= min_words))
-    return found.groupBy("_id", "_mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1))))).alias("gone"), F.count(F.lit(1)).alias("chunks"))
-
-
-def theirs_type() -> str:
-    return "array<struct<joined:boolean,whole:boolean,key:struct<_id:bigint,_mark:bigint,k:int>,k:int,start:int,body:array<string>,left:array<string>,right:array<string>>>"
+    found = equal.groupBy("_id", "_mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("key.n") - 1))))).alias("gone"))
+    # a stretch begins at a line that doesn't follow another
+    return found.withColumn("chunks", F.size(F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))))
 
 
 def line_dedup(docs: DataFrame, *, drop_emptied: bool = False, **how) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and n_lines, n_removed and n_chunks besides.
+    """``docs`` with repeated passages taken out of ``text``, and n_lines, n_removed and n_chunks besides.
 
     Null texts stay null, with no lines. Rows that repeat both id and text are
     one document: each keeps what the other keeps. A null doc_id comes last in
@@ -146,5 +112,5 @@ def line_dedup(docs: DataFrame, *, drop_emptied: bool = False, **how) -> DataFra
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the multi-line chunks that an earlier document has."""
+    """All documents without the passages that an earlier place has."""
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_chunks", "text")

@@ -120,3 +120,66 @@ def test_passages(spark):
 def test_no_python(spark, sf):
     plan = linededup.op8_linededup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def runs(rows, min_lines=2, min_words=50):
+    """By (doc_id, hash of the text): lines in maximal equal runs, found without hashes or windows."""
+    docs = sorted({((1 << 63) - 1 if i is None else i, h(t)): t.split("\n") for i, t in rows if t is not None}.items())
+    gone = defaultdict(set)
+    for i, (d, x) in enumerate(docs):
+        for j in range(i + 1):
+            y = docs[j][1]
+            for shift in range(1 if i == j else 1 - len(y), len(x)):  # line a of x against line a - shift of y
+                a = max(0, shift)
+                while a < min(len(x), len(y) + shift):
+                    b = a
+                    while b < min(len(x), len(y) + shift) and x[b] == y[b - shift]:
+                        b += 1
+                    full = [k for k in range(a, b) if words(x[k])]
+                    if full:
+                        lo, hi = max(a, full[0] - min_lines + 1), min(b, full[-1] + min_lines)
+                        if hi - lo >= min_lines or sum(map(words, x[lo:hi])) >= min_words:
+                            gone[d] |= set(range(lo, hi))
+                    a = max(b, a + 1)
+    return gone
+
+
+def whole(rows, **how):
+    gone, out = runs(rows, **how), []
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        g = gone.get(((1 << 63) - 1 if i is None else i, h(t)), set()) if t is not None else set()
+        out.append((i, len(lines), len(g), sum(k - 1 not in g for k in g), None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in g)))
+    return sorted(out, key=str)
+
+
+def test_whole_runs(spark, tricky):
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    shapes = [(3, 20), (4, 15), (5, 12), (6, 10), (8, 8), (20, 10), (1, 60), (2, 3), (1, 49)]
+    passages = [[line(w) for _ in range(n)] for n, w in shapes * 3] + [["a b", "", "", "", "", "c d"], ["", "", "e f", ""], [line(5), "", line(5)]]
+    rows = []
+    for i in range(60):
+        own = [rng.choice([line(8), ""]) for _ in range(rng.randrange(1, 8))]
+        for p in rng.sample(passages, rng.randrange(4)):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = p
+        rows.append((i, "\n".join(own)))
+    rows += [rows[3], rows[3], (None, rows[5][1]), (90, "same\n" * 60), (91, "same\n" * 40)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "", "", "", "") for r in rows], DOCUMENTS)
+    for how in ({}, {"min_lines": 3, "min_words": 20}):
+        assert got(linededup.line_dedup(docs, **how)) == whole(rows, **how)
+    assert got(linededup.line_dedup(tricky)) == whole([(r.doc_id, r.text) for r in tricky.collect()])
+
+
+def test_whole_passage(spark):
+    """Passages of over 50 words in short lines go wherever they stand."""
+    rng = random.Random(10)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], []
+    for i, (n, w) in enumerate([(3, 20), (4, 15), (5, 12), (6, 10), (8, 8), (20, 10)] * 5):
+        passage = [line(w) for _ in range(n)]
+        rows += [(2 * i, "\n".join([line(7), *passage, line(7)])), (2 * i + 1, "\n".join([a := line(7), *passage, b := line(7)]))]
+        want += [(2 * i, rows[-2][1]), (2 * i + 1, f"{a}\n{b}")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "", "", "", "") for r in rows], DOCUMENTS)
+    assert sorted((r.doc_id, r.text) for r in linededup.line_dedup(docs).collect()) == want
