@@ -233,13 +233,14 @@ class Model:
         return langs, score, ~has | (nats.min(1) > self.limits[best])
 
 
-def fit(docs: DataFrame, *, most_grams: int = 1_500_000, calibration: int = 2000) -> Model:
+def fit(docs: DataFrame, *, most_grams: int = 1_500_000, few: int = 30) -> Model:
     """Models of all training rows of ``docs`` (doc_id, text, lang).
 
     ``most_grams`` bounds the model: where the corpus has more distinct grams,
     the rarest are left out, by steps of a 16th of a power of two in their
-    counts. Limits of rejection are taken from at most ``calibration`` training
-    rows (those of the smallest hash of doc_id): mean and four deviations.
+    counts. Limits of rejection are taken from all training rows: mean and four
+    deviations. A language of under ``few`` rows has at least the deviation of
+    all languages together, and no limit where that is 0.
     """
     known = docs.where(training()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     counts = written(gram_counts(known), "grams").withColumn("step", F.floor(16 * F.log2("n")))
@@ -253,20 +254,23 @@ def fit(docs: DataFrame, *, most_grams: int = 1_500_000, calibration: int = 2000
     langs = np.array(frame.column("lang").to_pylist(), object)
     grams_, n = frame.column("gram").to_numpy().view(U64), frame.column("n").to_numpy()
     models = LanguageModels({lang: (grams_[langs == lang], n[langs == lang]) for lang in set(langs.tolist())})
-    limits = np.full(len(models.langs), np.inf)
+    limits, places = np.full(len(models.langs), np.inf), {x: i for i, x in enumerate(models.langs)}
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         for batch, data, offsets in slices(batches):
             nats, _, has = shared.value.entropies(data, offsets)
-            at = [shared.value.langs.index(x) for x in batch.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(nats[np.arange(len(at)), at]), pa.array(has)], names=["lang", "nats", "has"])
+            at = np.array([places.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            rows = np.flatnonzero(has & (at >= 0))
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(rows)), pa.array(nats[rows, at[rows]])], names=["lang", "nats"])
 
     if models.langs:
-        ids = F.broadcast(known.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(calibration).distinct())
-        sample = known.join(ids, "doc_id").mapInArrow(run, "lang string, nats double, has boolean").where("has")
-        for lang, mean, spread in sample.groupBy("lang").agg(F.avg("nats"), F.stddev_pop("nats")).collect():
-            limits[models.langs.index(lang)] = mean + 4 * spread
+        nats = known.select("lang", "text").mapInArrow(run, "lang string, nats double")
+        sums = nats.groupBy("lang").agg(F.count("nats"), F.avg("nats"), F.var_pop("nats")).collect()
+        together = sum(n * var for _, n, _, var in sums) / max(1, sum(n for _, n, _, _ in sums))
+        for lang, n, mean, var in sums:
+            spread = var if n >= few else max(var, together)
+            limits[places[lang]] = mean + 4 * spread**0.5 if spread or n >= few else np.inf
     return Model(models, limits)
 
 

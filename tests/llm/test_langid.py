@@ -116,3 +116,18 @@ def test_tricky(spark, tricky, no_documents):
     assert {r.lang_pred for r in langid.with_language(tricky, nothing).collect()} == {"und"}
     strange = spark.createDataFrame([(0, "zzqx jjkw vvqq xxzz kkqj qqqz wxyz jqxz")], "doc_id long, text string")
     assert langid.with_language(strange, langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))).first().rejected
+
+
+def test_limits_of_all_rows(spark):
+    """Every training row counts towards the limits, and a language of one row has a limit above that row's entropy."""
+    texts = [" ".join(f"{'aeiou'[i * k % 5]}{'bcdfg'[(i + k) % 5]}n" for k in range(3 + i % 9)) for i in range(5000)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(9000 + i, "quxx zyzz wvw", "xx") for i in range(4)] + [(9100, "12 34", "no letter")]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    rows = [r for r in rows if r[2] != "xx"] + [r for r in rows if r[2] == "xx"][:1]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.models.langs == ["en", "xx"]
+    coded = [t.encode() for _, t, lang in rows if lang != "no letter"]
+    nats = model.models.entropies(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))[0]
+    en = nats[:-1, 0]
+    assert len(en) > 3000 and np.isclose(model.limits[0], en.mean() + 4 * en.std())
+    assert nats[-1, 1] < model.limits[1] < np.inf
