@@ -109,3 +109,11 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200), (100, 102)]
     found = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+
+
+def test_components_of_long_chains(spark):
+    order = list(range(400))
+    random.Random(3).shuffle(order)
+    links = list(zip(order, order[1:])) + [(i, i + 1) for i in range(1001, 1150)] + [(1150, 1000)]
+    found = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1151)}
