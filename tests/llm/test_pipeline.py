@@ -1,5 +1,7 @@
 """Each stage against what its operator's own brute-force version keeps."""
 
+import random
+
 import corpus_pipeline as pipeline
 from tests.llm import test_bpe, test_decontaminate, test_linededup, test_neardup
 from tests.llm.conftest import DOCUMENTS
@@ -47,3 +49,13 @@ def test_tricky(spark, tricky, no_documents, sf):
             assert name == "bpe" or docs.columns == columns
         docs.count()
     assert DOCUMENTS.startswith("doc_id")
+
+
+def test_exact_copies_of_short_lines(spark, sf):
+    """Line dedup takes an exact copy whole, so that no scrap of it passes near dedup as a document of its own."""
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) for _ in range(25)) for _ in range(30)]
+    docs = spark.createDataFrame([(100 * k + i, t, "en", "s", len(t), "", "", "", "") for k in range(2) for i, t in enumerate(texts)], DOCUMENTS)
+    docs = pipeline.line_dedup_stage(spark, docs, sf)
+    assert {r.doc_id: r.text for r in docs.collect()} == dict(enumerate(texts))
+    assert {r.doc_id for r in pipeline.near_dedup_stage(spark, docs, sf).collect()} == set(range(30))
