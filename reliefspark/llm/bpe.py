@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reliefspark.llm.shared import fresh_dir, local_or_remote, table, written
-from reliefspark.llm.textkit import SPACES, grouped, hash_spans, not_in, ragged, release, slices, strings
+from reliefspark.llm.textkit import SPACES, Spans, grouped, hash_spans, no_spans, not_in, ragged, release, slices, strings
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -279,14 +279,15 @@ class Encoder:
     """Encodes batches of texts by their distinct pieces, remembering the first ``remember`` pieces that it meets.
 
     Pieces are looked up in the lexicon; the others are encoded exactly by ``exact``, which gets distinct texts.
+    Hashes only find what is remembered: bytes are compared.
     """
 
     def __init__(self, vocab: Vocabulary, exact: Callable[[list[str]], list[list[int]]], lexicon: Transducer | None = None, remember: int = 2_000_000):
         self.vocab, self.exact, self.lexicon, self.remember = vocab, exact, lexicon, remember
         self.marks = [t.encode("utf-8") for t in vocab.added]
-        # two sorted tables of key, start and length in ``ids``: all but the latest pieces, and the latest
-        self.tables = [self._table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
-        self.ids = np.zeros(0, np.uint32)
+        # two sorted tables of hash, start and length in ``ids`` and place in ``known``: all but the latest pieces, and the latest
+        self.tables = [self._table(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)] * 2
+        self.ids, self.known = np.zeros(0, np.uint32), no_spans()
 
     @staticmethod
     def _table(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -326,12 +327,15 @@ class Encoder:
         if any(m in whole for m in self.marks):
             return self._with_added(data, offsets)
         starts, ends, rows = pieces(data, offsets)
-        distinct, first, number = grouped(hash_spans(data, starts, ends))
-        have = np.zeros(len(distinct), bool)
+        spans = Spans(data, starts, ends)
+        distinct, first, number, own = spans.groups()
+        have, taken = np.zeros(len(distinct), bool), np.arange(len(distinct)) >= own
         begin, length = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-        for keys, begins, lengths in self.tables:
+        for keys, begins, lengths, places in self.tables:
             at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
             here = np.flatnonzero(keys[at] == distinct) if len(keys) else at[:0]
+            taken[here] = True
+            here = here[spans.equal(first[here], places[at[here]], self.known)]
             have[here] = True
             begin[here], length[here] = begins[at[here]], lengths[at[here]]
         new = np.flatnonzero(~have)
@@ -339,8 +343,9 @@ class Encoder:
         begin[new], length[new] = begins + len(self.ids), lengths
         store = np.concatenate([self.ids, ids])
         if sum(len(t[0]) for t in self.tables) + len(new) <= self.remember:
-            self.ids = store
-            self._remember(distinct[new], begin[new], lengths)
+            free = new[~taken[new]]
+            self._remember(distinct[free], begin[free], length[free], len(self.known.lengths) + np.arange(len(free)))
+            self.ids, self.known = store, self.known.join(spans.take(first[free]))
         where, bounds = ragged(begin[number], length[number])
         return store[where], bounds[rows]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.llm.shared import table, written
-from reliefspark.llm.textkit import U64, hash_spans, mix, powers, ragged, slices, spans, words
+from reliefspark.llm.textkit import U64, chained, hash_spans, ragged, slices, spans, words
 
 #: Words end at white space and at ASCII signs.
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -39,16 +39,36 @@ def word_keys(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, keys array<long>")
 
 
+#: Prime and bases of the running hashes.
+PRIME, BASES = (1 << 31) - 1, (1_103_515_245, 1_812_433_253)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the power of 0, 1, ..., modulo PRIME: ``n`` of them."""
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, out * U64(pow(base, len(out), PRIME)) % U64(PRIME)])
+    return out[:n]
+
+
 class Rolling:
-    """Karp-Rabin hashes of all windows of any length over one sequence, by prefix sums."""
+    """Karp-Rabin hashes of all windows of any length over one sequence of hashed words, by prefix sums.
+
+    Two polynomials modulo a prime, over the two halves of each word's hash.
+    """
 
     def __init__(self, keys: np.ndarray):
-        self.up, down = (x[: len(keys) + 1] for x in powers(max(1, len(keys))))
-        self.sums = np.zeros(len(keys) + 1, U64)
-        np.cumsum(keys * down[:-1], out=self.sums[1:])
+        self.parts = []
+        for half, base in zip((keys & U64(0xFFFFFFFF), keys >> U64(32)), BASES, strict=True):
+            sums = np.zeros(len(keys) + 1, U64)
+            np.cumsum(half % U64(PRIME) * powers(pow(base, -1, PRIME), len(keys)) % U64(PRIME), out=sums[1:])
+            self.parts.append((powers(base, len(keys) + 1), sums))
 
     def windows(self, length: int, at: np.ndarray) -> np.ndarray:
-        return (self.sums[at + length] - self.sums[at]) * self.up[at + length]
+        out = np.zeros(len(at), U64)
+        for up, sums in self.parts:
+            out = out << U64(31) | (sums[at + length] - sums[at]) % U64(PRIME) * up[at + length] % U64(PRIME)
+        return out
 
 
 def unmarked(free: np.ndarray, length: int) -> np.ndarray:
@@ -87,15 +107,20 @@ def tile(runs: list[np.ndarray], item: np.ndarray, least: int) -> list[tuple[int
             break
         at_t, found, at_i = common(low)
         by = defaultdict(list)
-        for q, h in zip(at_t.tolist(), found.tolist(), strict=True):
+        for q, h in zip(at_t[::-1].tolist(), found[::-1].tolist(), strict=True):
             by[h].append(q)
         for p, h in zip(at_i.tolist(), roll_i.windows(low, at_i).tolist(), strict=True):
-            for q in by.get(h, ()):
-                if free_i[p : p + low].all() and free_t[q : q + low].all() and np.array_equal(item[p : p + low], text[q : q + low]):
+            spots = by.get(h, [])
+            while spots and not free_t[spots[-1] : spots[-1] + low].all():
+                spots.pop()
+            if not free_i[p : p + low].all():
+                continue
+            for q in reversed(spots):
+                if free_t[q : q + low].all() and np.array_equal(item[p : p + low], text[q : q + low]):
                     free_i[p : p + low] = free_t[q : q + low] = False
                     tiles.append((p, q, low))
                     break
-        most = low
+        most = low - 1  # nothing of this length is left; where hashes clashed, there was nothing
     return tiles
 
 
@@ -106,7 +131,7 @@ def seeds_of(items: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for item, keys in zip(batch.column("item_id").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                found = windows(np.array(keys, np.int64).view(U64), min(seed, len(keys)))
+                found = chained(np.array(keys, np.int64).view(U64), min(seed, len(keys)))
                 for r, x in zip(rows, ([item] * len(found), [len(keys)] * len(found), found.view(np.int64).tolist(), range(len(found))), strict=True):
                     r.extend(x)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["item_id", "n_words", "h", "pos"])
@@ -114,13 +139,6 @@ def seeds_of(items: DataFrame, seed: int) -> DataFrame:
     return items.mapInArrow(run, "item_id long, n_words long, h long, pos long")
 
 
-def windows(keys: np.ndarray, length: int) -> np.ndarray:
-    """Seed hashes at each position; they depend on the length too."""
-    if not length or len(keys) < length:
-        return np.zeros(0, U64)
-    return mix(Rolling(keys).windows(length, np.arange(len(keys) - length + 1)) + U64(length))
-
-
 RUNS = "row long, doc_id long, text_key long, seeds array<long>, starts array<int>, keys array<long>"
 
 
@@ -138,7 +156,7 @@ def seeded_runs(docs: DataFrame, wanted: np.ndarray, lengths: list[int]) -> Data
             keys = hash_spans(data, starts, ends, lower=True)
             covered, hits = np.zeros(len(keys) + 1, np.int64), []
             for n in lengths:
-                found = windows(keys, n)
+                found = chained(keys, n)
                 place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[place] == found)
                 row = np.searchsorted(rows, hit, "right") - 1
@@ -189,16 +207,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, covera
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("row_i"), F.lit(blocks)) == block)
         seeds = written(seeds_of(own.select(F.col("row_i").alias("item_id"), "keys"), seed), "seeds")
-        wanted = np.unique(np.array([r.h for r in seeds.select("h").distinct().collect()], np.int64).view(U64))
+        wanted = np.unique(seeds.select("h").distinct().toArrow().column("h").to_numpy().view(U64))
         if not len(wanted):
             continue
         lengths = sorted(r[0] for r in seeds.select(F.least("n_words", F.lit(seed))).distinct().collect())
         runs = written(seeded_runs(docs, wanted, lengths), "runs")
-        hits = runs.select("row", F.explode("seeds").alias("h")).join(F.broadcast(seeds), "h").groupBy("row", "item_id", "n_words").agg(F.count(F.lit(1)).alias("n"))
+        hits = runs.select("row", F.explode("seeds").alias("h")).join(seeds, "h").groupBy("row", "item_id", "n_words").agg(F.count(F.lit(1)).alias("n"))
         # seeds cover at most ``seed`` words each, so what falls short here can't reach the coverage
         pairs = hits.where(F.col("n") * seed >= coverage * F.col("n_words")).select("row", F.col("item_id").alias("row_i"), "n_words")
         names = own.select("row_i", "item_id", F.col("keys").alias("item"))
-        both = pairs.join(F.broadcast(names), "row_i").join(runs.select("row", "doc_id", "text_key", "starts", "keys"), "row")
+        both = pairs.join(names, "row_i").join(runs.select("row", "doc_id", "text_key", "starts", "keys"), "row")
         out.append(both.select("doc_id", "text_key", "item_id", "n_words", "item", "starts", "keys").mapInArrow(tiling(seed), TILED).where(F.col("coverage") >= coverage))
     return reduce(DataFrame.union, out) if out else spark.createDataFrame([], TILED)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from reliefspark.llm.graph import components
 from reliefspark.llm.shared import table, written
-from reliefspark.llm.textkit import U64, hash_spans, mix, slices, words
+from reliefspark.llm.textkit import U64, chained, hash_spans, mix, slices, words
 
 #: 40 bands of 4 registers: two sets of similarity 0.8 miss all bands with a probability of (1 - 0.8^4)^40 < 1e-9.
 BANDS, ROWS = 40, 4
@@ -31,21 +31,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     """Sorted distinct shingle hashes of each text; a text of fewer words has one, of all its words."""
     starts, ends, rows = words(data, offsets)
     keys = hash_spans(data, starts, ends, lower=True)
-    chain = np.zeros(0, U64)
-    if len(keys) >= size:
-        n = len(keys) - size + 1
-        chain = np.full(n, size, U64)
-        for i in range(size):
-            chain = mix(chain * U64(0x9E3779B97F4A7C15) + keys[i : i + n])
+    chain = chained(keys, size)
     out = []
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(chain[a : b - size + 1]))
         elif b > a:
-            short = np.full(1, b - a, U64)
-            for i in range(a, b):
-                short = mix(short * U64(0x9E3779B97F4A7C15) + keys[i : i + 1])
-            out.append(short)
+            out.append(chained(keys[a:b], b - a))
         else:
             out.append(np.zeros(0, U64))
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.llm.shared import table, written
-from reliefspark.llm.textkit import U64, grouped, hash_spans, mix, slices, spans, words
+from reliefspark.llm.textkit import U64, Spans, chained, grouped, hash_spans, mix, slices, spans, words
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -23,17 +23,6 @@ def by_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(sums[offsets])
 
 
-def chained(keys: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the windows of ``length`` keys that begin at each position."""
-    n = len(keys) - length + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    out = np.zeros(n, U64)
-    for i in range(length):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + keys[i : i + n])
-    return out
-
-
 def repeat_words(keys: np.ndarray, rows: np.ndarray, window: int = 5) -> np.ndarray:
     """By row: words in windows that the row has twice or more. ``rows``: number of words before each row."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))

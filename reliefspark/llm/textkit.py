@@ -10,9 +10,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-MASK = (1 << 64) - 1
-#: Odd base of the rolling hash, and the bytes that one pass covers.
-BASE, PASS = 0x9E3779B97F4A7C15, 1 << 20
 #: Fixed value: ASCII white space.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -24,41 +21,101 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power of 0, 1, ... and of its inverse: ``n`` + 1 of each, or more."""
-    return _powers(max(PASS, 1 << (n - 1).bit_length()))
+#: Fixed value: which bits of a word of eight bytes count where it holds so many.
+HELD = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, BASE, U64), np.full(n + 1, pow(BASE, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+@lru_cache
+def lowered() -> np.ndarray:
+    """By byte: itself, A-Z as a-z."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    return out
 
 
-@lru_cache
-def byte_values(lower: bool) -> np.ndarray:
-    """A 64-bit value for each byte; with ``lower`` A-Z have those of a-z."""
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+class Spans:
+    """The spans ``data[start:end]`` as words of eight bytes (the last filled up with zeros), with a 64-bit hash of each.
+
+    A word is mixed with its place before it is added, so equal sums of
+    different spans are left to chance, whatever patterns the texts have; where
+    equality decides a result, ``equal`` compares the bytes. With ``lower`` A-Z
+    count as a-z.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = lowered()[data] if lower else data
+        self.lengths = ends - starts
+        counts = (self.lengths + 7) >> 3
+        self.offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(counts, out=self.offsets[1:])
+        place = np.arange(self.offsets[-1]) - np.repeat(self.offsets[:-1], counts)
+        at = np.repeat(starts, counts) + 8 * place
+        self.words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at] & HELD[np.minimum(np.repeat(ends, counts) - at, 8)]
+        sums = np.zeros(len(self.words) + 1, U64)
+        np.cumsum(mix(self.words ^ ((place + 1).astype(U64) * U64(0x9E3779B97F4A7C15))), out=sums[1:])
+        self.hashes = mix(sums[self.offsets[1:]] - sums[self.offsets[:-1]] + self.lengths.astype(U64) * U64(0xA24BAED4963EE407))
+
+    def equal(self, a: np.ndarray, b: np.ndarray, other: Spans | None = None) -> np.ndarray:
+        """Whether span ``a[i]`` has the bytes of span ``b[i]`` (of ``other``)."""
+        other = other or self
+        out = self.lengths[a] == other.lengths[b]
+        same = np.flatnonzero(out)
+        counts = np.diff(self.offsets)[a[same]]
+        mine, offsets = ragged(self.offsets[a[same]], counts)
+        theirs, _ = ragged(other.offsets[b[same]], counts)
+        unlike = np.zeros(len(mine) + 1, np.int64)
+        np.cumsum(self.words[mine] != other.words[theirs], out=unlike[1:])
+        out[same] = unlike[offsets[1:]] == unlike[offsets[:-1]]
+        return out
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(hash, one position of each distinct span, number of its span for every position, how many of these have hashes of their own).
+
+        By the hashes, each compared with the first of its group. Of spans with
+        the same hash, the others come last, told apart by their bytes.
+        """
+        keys, first, number = grouped(self.hashes)
+        own, beyond = len(keys), {}
+        for i in np.flatnonzero(~self.equal(np.arange(len(number)), first[number])).tolist():
+            number[i] = beyond.setdefault(self.words[self.offsets[i] : self.offsets[i + 1]].tobytes() + b"%d" % self.lengths[i], (own + len(beyond), i))[0]
+        extra = np.array([i for _, i in beyond.values()], np.int64)
+        return np.concatenate([keys, self.hashes[extra]]), np.concatenate([first, extra]), number, own
+
+    def take(self, at: np.ndarray) -> Spans:
+        """Some of the spans."""
+        out = object.__new__(Spans)
+        out.lengths, out.hashes = self.lengths[at], self.hashes[at]
+        spots, out.offsets = ragged(self.offsets[at], np.diff(self.offsets)[at])
+        out.words = self.words[spots]
+        return out
+
+    def join(self, more: Spans) -> Spans:
+        """These spans, then ``more``."""
+        out = object.__new__(Spans)
+        out.lengths, out.hashes, out.words = (np.concatenate([getattr(x, n) for x in (self, more)]) for n in ("lengths", "hashes", "words"))
+        out.offsets = np.concatenate([self.offsets, self.offsets[-1] + more.offsets[1:]])
+        return out
+
+
+def no_spans() -> Spans:
+    return Spans(*(np.zeros(0, t) for t in (np.uint8, np.int64, np.int64)))
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the spans ``data[start:end]``, which are in order and don't overlap."""
-    out, values, i, n = np.empty(len(starts), U64), byte_values(lower), 0, len(starts)
-    while i < n:
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + PASS, "right")))
-        hi = int(ends[j - 1])
-        up, down = powers(hi - lo)
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(values[data[lo:hi]] * down[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * up[e]
-        i = j
-    return mix(out + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    """64-bit hashes of the spans ``data[start:end]``."""
+    return Spans(data, starts, ends, lower).hashes
+
+
+def chained(keys: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` keys that begin at each position."""
+    n = len(keys) - length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = np.full(n, length, U64)
+    for i in range(length):
+        out = mix(out * U64(0x9E3779B97F4A7C15) + keys[i : i + n])
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reliefspark.llm.shared import table, written
-from reliefspark.llm.textkit import SPACES, U64, grouped, hash_spans, mix, slices, spans, words
+from reliefspark.llm.textkit import SPACES, U64, chained, grouped, hash_spans, mix, slices, spans, words
 
 # What letters a sign may stand for, and the log cost of each way to disguise.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
@@ -230,10 +230,7 @@ def shared_ids(texts: DataFrame, window: int = 5, hashes: int = 6) -> DataFrame:
         for batch, data, offsets in slices(batches):
             starts, ends, rows = words(data, offsets, SIGNS)
             keys = hash_spans(data, starts, ends, lower=True)
-            n = max(0, len(keys) - window + 1)
-            chain = np.zeros(n, U64)
-            for i in range(window if n else 0):
-                chain = mix(chain * U64(0x9E3779B97F4A7C15) + keys[i : i + n])
+            chain = chained(keys, window)
             least = [[mix(chain[a : b - window + 1] ^ U64(k)).min() for k in range(hashes)] if b - a >= window else [] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.array(x, U64).view(np.int64) for x in least], pa.list_(pa.int64()))], names=["doc_id", "least"])
 
