@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
         pairs = nearest.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
         found = written(verified(promising(pairs, sketches, floor_of(num, den, margin), num, den), sets, num, den), "links")
         links.append(found)
-        labels = joined_labels(members, links)
+        labels = written(hooked(labels, found), "labels")
     floor = floor_of(num, den, margin)
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     placed = written(members.join(labels.join(sizes, "component"), "id"), "placed")
@@ -230,11 +230,19 @@ def floor_of(num: int, den: int, margin: float) -> float:
     return num / den - margin
 
 
-def joined_labels(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """(id, component) of all members after the links found so far."""
-    found = components(reduce(DataFrame.union, links))
-    ids = members.select("id").distinct()
-    return written(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed")
+def hooked(labels: DataFrame, links: DataFrame, steps: int = 2) -> DataFrame:
+    """``labels`` (id, component) after ``links``: a component takes the smallest one that a link leads to, and where that led in turn.
+
+    Only components that links join become one, but not all of those at once:
+    chains longer than 2 ** ``steps`` stay apart here. ``components`` is exact.
+    """
+    side = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    apart = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
+    moves = apart.groupBy(F.greatest("ca", "cb").alias("component")).agg(F.min(F.least("ca", "cb")).alias("to"))
+    for _ in range(steps):
+        beyond = moves.select(F.col("component").alias("to"), F.col("to").alias("beyond"))
+        moves = moves.join(beyond, "to", "left").select("component", F.coalesce("beyond", "to").alias("to"))
+    return labels.join(moves, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
 
 
 #: Members from which a component is large.
