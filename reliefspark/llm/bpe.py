@@ -12,11 +12,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import mmap
 import os
 import re
 import struct
-import tempfile
 from collections.abc import Callable, Iterable
 from functools import cached_property, lru_cache
 from itertools import chain, pairwise
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from reliefspark.llm.shared import fresh_dir, local_or_remote, table, written
+from reliefspark.llm.shared import fresh_dir, local_or_remote, mapped_file, table, written
 from reliefspark.llm.textkit import SPACES, Spans, grouped, hash_spans, no_spans, not_in, ragged, release, slices, strings
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
@@ -234,15 +232,8 @@ class Transducer:
 
 @lru_cache(4)
 def mapped(uri: str) -> Transducer:
-    """The transducer at a URI, mapped into memory; of a remote file a copy, which is unlinked at once, is mapped."""
-    store, path = local_or_remote(uri)
-    if store.type_name == "local":
-        with open(path, "rb") as f:
-            return Transducer.view(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    with tempfile.TemporaryFile() as f, store.open_input_file(path) as source:
-        f.write(source.read())
-        f.flush()
-        return Transducer.view(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    """The transducer at a URI, mapped into memory."""
+    return Transducer.view(mapped_file(uri))
 
 
 #: White space beyond ASCII starts with one of these bytes in UTF-8.

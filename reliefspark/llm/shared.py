@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 import uuid
@@ -48,3 +49,19 @@ def local_or_remote(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def mapped_file(uri: str) -> mmap.mmap | None:
+    """A file mapped into memory, None where there is none or it is empty; of a remote one a copy, which is unlinked at once, is mapped."""
+    store, path = local_or_remote(uri)
+    info = store.get_file_info(path)
+    if not info.is_file or not info.size:
+        return None
+    if store.type_name == "local":
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    with tempfile.TemporaryFile() as f, store.open_input_file(path) as source:
+        while data := source.read(8 << 20):
+            f.write(data)
+        f.flush()
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)

@@ -66,12 +66,7 @@ TEXTS = {"en": ["The cat sat on the mat. The dog ran.", "that this then there",
 @pytest.fixture(scope="module")
 def toy(spark):
     docs = spark.createDataFrame([(k, t, lang) for lang, ts in TEXTS.items() for t in ts for k in (0, 1)], "doc_id long, text string, lang string").where("doc_id = 0")
-    counts = langid.gram_counts(docs).collect()
-    by = defaultdict(lambda: ([], []))
-    for lang, gram, n in counts:
-        by[lang][0].append(gram & (2**64 - 1))
-        by[lang][1].append(n)
-    return langid.LanguageModels({lang: (np.array(k, np.uint64), np.array(n)) for lang, (k, n) in by.items()})
+    return langid.fit_models(langid.gram_counts(docs), segment=40)
 
 
 def test_entropies_by_hand(toy):
@@ -90,7 +85,7 @@ def test_models_sum_to_one(toy):
     every = np.unique(np.array([c for ts in TEXTS.values() for t in ts for c in [*fold_all(t), 32]], np.uint64))
     for context in ([32, 116, 104], [97, 98, 99], [120, 32, 100]):
         head = np.uint64((context[0] << 48) | (context[1] << 32) | (context[2] << 16))
-        total = np.exp(toy._log(head | every, 4).astype(float)).sum(0) + np.exp(toy._log(np.array([head | np.uint64(0xFFF0)]), 4).astype(float)).sum(0)
+        total = np.exp(toy.logs(head | every).astype(float)).sum(0) + np.exp(toy.logs(np.array([head | np.uint64(0xFFF0)])).astype(float)).sum(0)
         assert np.allclose(total, 1, atol=2e-3)
 
 
@@ -131,3 +126,30 @@ def test_limits_of_all_rows(spark):
     en = nats[:-1, 0]
     assert len(en) > 3000 and np.isclose(model.limits[0], en.mean() + 4 * en.std())
     assert nats[-1, 1] < model.limits[1] < np.inf
+
+
+def test_model_of_many_grams(spark):
+    """Over 1.5 million distinct grams in one language, a few in another, in files of 100,000 entries: all of them count."""
+    rng = np.random.default_rng(8)
+    parts = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, 40_000))) for _ in range(39)]
+    parts.append(parts[0][:9000])
+    rows = [(i, t, "zz") for i, t in enumerate(parts)] + [(100, "qux wyv quy", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    made = langid.fit_models(langid.gram_counts(docs), segment=100_000)
+    symbols = len({c for _, t, _ in rows for c in [*map(ord, t), 32]})
+    plain = [Plain([t for _, t, x in rows if x == lang], symbols) for lang in ("aa", "zz")]
+    assert made.langs == ["aa", "zz"] and len(plain[1].levels[4]) > 1_500_000 and made.store.bits > 4
+    asked = [parts[0][:60], parts[7][900:950], parts[3][:10] + parts[5][:10], "quy wux", "nothing of this"]
+    coded = [t.encode() for t in asked]
+    for held in (None, langid.Remembered(2, 1)):
+        nats, _, _ = made.entropies(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]), held)
+        assert np.allclose(nats, [[p.nats(t) for p in plain] for t in asked], rtol=2e-4)
+
+
+def test_remembered_grams_are_forgotten(toy):
+    texts = [t for ts in TEXTS.values() for t in ts] * 3 + ["".join(map(chr, range(a, a + 900))) for a in (0x400, 0x3400, 0x5000, 0x6000, 0x7000, 0x400)]
+    coded = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
+    held = langid.Remembered(len(toy.langs), 1)
+    held.most = 700
+    assert np.allclose(toy.entropies(data, offsets, held)[0], toy.entropies(data, offsets)[0]) and len(held.values) <= 700
