@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reliefspark.llm.shared import fresh_dir, local_or_remote, mapped_file, table, written
-from reliefspark.llm.textkit import SPACES, Spans, grouped, hash_spans, no_spans, not_in, ragged, release, slices, strings
+from reliefspark.llm.textkit import SPACES, Growing, KnownSpans, Spans, grouped, hash_spans, not_in, ragged, release, slices, strings
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -273,12 +273,12 @@ class Encoder:
     Hashes only find what is remembered: bytes are compared.
     """
 
-    def __init__(self, vocab: Vocabulary, exact: Callable[[list[str]], list[list[int]]], lexicon: Transducer | None = None, remember: int = 2_000_000):
+    def __init__(self, vocab: Vocabulary, exact: Callable[[list[str]], list[list[int]]], lexicon: Transducer | None = None, remember: int = 1_000_000):
         self.vocab, self.exact, self.lexicon, self.remember = vocab, exact, lexicon, remember
         self.marks = [t.encode("utf-8") for t in vocab.added]
         # two sorted tables of hash, start and length in ``ids`` and place in ``known``: all but the latest pieces, and the latest
         self.tables = [self._table(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)] * 2
-        self.ids, self.known = np.zeros(0, np.uint32), no_spans()
+        self.ids, self.known = Growing(np.uint32), KnownSpans()
 
     @staticmethod
     def _table(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -318,7 +318,17 @@ class Encoder:
         if any(m in whole for m in self.marks):
             return self._with_added(data, offsets)
         starts, ends, rows = pieces(data, offsets)
-        spans = Spans(data, starts, ends)
+        parts = [self._encode(data, starts[lo : lo + CHUNK], ends[lo : lo + CHUNK]) for lo in range(0, len(starts), CHUNK)]
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        bounds = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(np.concatenate([n for _, n in parts]), out=bounds[1:])
+        return np.concatenate([i for i, _ in parts]), bounds[rows]
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some pieces one after another, number of each piece's)."""
+        begin_byte = int(starts[0])
+        spans = Spans(data[begin_byte : int(ends[-1])], starts - begin_byte, ends - begin_byte)
         distinct, first, number, own = spans.groups()
         have, taken = np.zeros(len(distinct), bool), np.arange(len(distinct)) >= own
         begin, length = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
@@ -331,14 +341,19 @@ class Encoder:
             begin[here], length[here] = begins[at[here]], lengths[at[here]]
         new = np.flatnonzero(~have)
         ids, begins, lengths = self._learn(distinct[new], data, starts[first[new]], ends[first[new]])
-        begin[new], length[new] = begins + len(self.ids), lengths
-        store = np.concatenate([self.ids, ids])
-        if sum(len(t[0]) for t in self.tables) + len(new) <= self.remember:
+        begin[new], length[new] = begins, lengths
+        n = length[number]
+        if len(new) and sum(len(t[0]) for t in self.tables) + len(new) <= self.remember:
+            begin[new] += self.ids.size
             free = new[~taken[new]]
             self._remember(distinct[free], begin[free], length[free], len(self.known.lengths) + np.arange(len(free)))
-            self.ids, self.known = store, self.known.join(spans.take(first[free]))
-        where, bounds = ragged(begin[number], length[number])
-        return store[where], bounds[rows]
+            self.ids.add(ids)
+            self.known.add(spans, first[free])
+            have[:] = True
+        out, offsets = np.empty(int(n.sum()), np.uint32), np.cumsum(n) - n
+        for source, chosen in ((self.ids.values, have[number]), (ids, ~have[number])):
+            out[ragged(offsets[chosen], n[chosen])[0]] = source[ragged(begin[number[chosen]], n[chosen])[0]]
+        return out, n
 
     def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same where the texts hold added tokens: each stretch between two of them is a text of its own."""
@@ -360,6 +375,8 @@ class Encoder:
 
 #: Pieces above so many bytes are not compiled.
 LONGEST = 64
+#: Pieces that are looked up together.
+CHUNK = 1 << 17
 
 
 @lru_cache(2)

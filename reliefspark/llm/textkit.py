@@ -56,7 +56,7 @@ class Spans:
         np.cumsum(mix(self.words ^ ((place + 1).astype(U64) * U64(0x9E3779B97F4A7C15))), out=sums[1:])
         self.hashes = mix(sums[self.offsets[1:]] - sums[self.offsets[:-1]] + self.lengths.astype(U64) * U64(0xA24BAED4963EE407))
 
-    def equal(self, a: np.ndarray, b: np.ndarray, other: Spans | None = None) -> np.ndarray:
+    def equal(self, a: np.ndarray, b: np.ndarray, other: Spans | KnownSpans | None = None) -> np.ndarray:
         """Whether span ``a[i]`` has the bytes of span ``b[i]`` (of ``other``)."""
         other = other or self
         out = self.lengths[a] == other.lengths[b]
@@ -82,24 +82,42 @@ class Spans:
         extra = np.array([i for _, i in beyond.values()], np.int64)
         return np.concatenate([keys, self.hashes[extra]]), np.concatenate([first, extra]), number, own
 
-    def take(self, at: np.ndarray) -> Spans:
-        """Some of the spans."""
-        out = object.__new__(Spans)
-        out.lengths, out.hashes = self.lengths[at], self.hashes[at]
-        spots, out.offsets = ragged(self.offsets[at], np.diff(self.offsets)[at])
-        out.words = self.words[spots]
-        return out
 
-    def join(self, more: Spans) -> Spans:
-        """These spans, then ``more``."""
-        out = object.__new__(Spans)
-        out.lengths, out.hashes, out.words = (np.concatenate([getattr(x, n) for x in (self, more)]) for n in ("lengths", "hashes", "words"))
-        out.offsets = np.concatenate([self.offsets, self.offsets[-1] + more.offsets[1:]])
-        return out
+class Growing:
+    """An array that is added to; room grows twofold, so that adding costs what is added."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.empty(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.size + len(values)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+class KnownSpans:
+    """Bytes of spans that were met before, in the order in which they were added."""
+
+    def __init__(self):
+        self._words, self._lengths, self._offsets = Growing(U64), Growing(np.int32), Growing(np.int64)
+        self._offsets.add(np.zeros(1, np.int64))
 
+    words = property(lambda self: self._words.values)
+    lengths = property(lambda self: self._lengths.values)
+    offsets = property(lambda self: self._offsets.values)
 
-def no_spans() -> Spans:
-    return Spans(*(np.zeros(0, t) for t in (np.uint8, np.int64, np.int64)))
+    def add(self, spans: Spans, at: np.ndarray) -> None:
+        spots, offsets = ragged(spans.offsets[at], np.diff(spans.offsets)[at])
+        self._offsets.add(self._words.size + offsets[1:])
+        self._words.add(spans.words[spots])
+        self._lengths.add(spans.lengths[at])
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
