@@ -1,15 +1,18 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Words that look disguised (digits or signs for letters, letters drawn out, or
-spelled apart) are restored by Viterbi search: every character has a lattice of
-letters that it may stand for, paths are weighed by a character language model
-of the whole corpus. Documents are then scored by their words and the restored
-ones, under weights learnt from labelled documents.
+Words that may be disguised (digits or signs for letters, look-alikes of other
+scripts, letters drawn out or doubled, words spelled apart) are restored by
+Viterbi search: every character has a lattice of what it may stand for, paths
+are weighed by a character language model of the whole corpus, and the best one
+is taken, which for most words is the word itself. Documents are then scored by
+their words and the restored ones, under weights learnt from labelled documents.
 """
 
 from __future__ import annotations
 
 import math
+import os
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,14 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reliefspark.llm.shared import table, written
-from reliefspark.llm.textkit import SPACES, U64, chained, grouped, hash_spans, mix, slices, spans, words
+from reliefspark.llm.textkit import SPACES, U64, Spans, chained, grouped, hash_spans, lowered, mix, ragged, slices, spans, words
 
-# What letters a sign may stand for, and the log cost of each way to disguise.
+# What letters a sign may stand for, letters of other scripts that look like Latin ones, and the log cost of each way to disguise.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
-SUBSTITUTED, DROPPED_SIGN, DROPPED_DIGIT, DRAWN_OUT, DOUBLED = -1.5, -0.3, -8.0, -0.5, -4.0
+LOOK_ALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ω": "w", "ı": "i", "ɡ": "g"}
+SUBSTITUTED, LOOKS_ALIKE, DROPPED_SIGN, DROPPED_DIGIT, DRAWN_OUT, DOUBLED, BREAK = -1.5, -0.5, -0.3, -8.0, -0.5, -4.0, -1.0
 ALPHABET = 64
-#: Characters of one disguised word that are searched together; longer ones are searched part by part.
-LATTICE = 48
+#: Words of more characters are restored each time, not remembered.
+REMEMBERED = 64
 PREFIXES = (4, 5, 6, 7, 8)
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -77,91 +81,151 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p)
 
 
+@lru_cache(1 << 16)
+def meanings(c: str, again: bool, drawn: bool, apart: bool) -> tuple[tuple[str, tuple[int, ...], float], ...]:
+    """What a character may stand for: (letters, '' for none or a space for a word's end; their symbols; log cost).
+
+    ``again``: it repeats the one before; ``drawn``: of three or more; ``apart``: a word may end before it.
+    """
+    if c.isalpha():
+        found = [(c, 0.0)]
+        if c in LOOK_ALIKES:
+            found.append((LOOK_ALIKES[c], LOOKS_ALIKE))
+        elif 0xFF21 <= ord(c) <= 0xFF5A:  # the wide forms of ASCII
+            found.append((chr(ord(c) - 0xFEE0), LOOKS_ALIKE))
+        if again:
+            found.append(("", DRAWN_OUT if drawn else DOUBLED))
+    else:
+        found = [(x, SUBSTITUTED) for x in LEET.get(c, "")]
+        found.append(("", DROPPED_SIGN if not c.isdigit() else DOUBLED if again else DROPPED_DIGIT))
+        if len(found) == 1 and not c.isdigit():
+            found.append((" ", DROPPED_SIGN))
+    if apart:
+        found += [(f" {x}", cost + BREAK) for x, cost in found if x not in ("", " ")]
+    table = symbol_table()
+    return tuple((x, tuple(int(table[min(ord(y), 0xFFFF)]) for y in x), cost) for x, cost in found)
+
+
 class Restorer:
     """Most likely letters of a disguised word."""
 
     def __init__(self, logp: np.ndarray):
         self.logp = logp.astype(np.float64).ravel().tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
-    def restore(self, word: str) -> str:
-        found = self.known.get(word)
+    def restore(self, word: str, apart: bool = False) -> str:
+        """``apart``: the characters stood apart, so that nothing shows where words end."""
+        key = (word, apart)
+        found = self.known.get(key)
         if found is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            found = self.known[word] = "".join(self.viterbi(word[i : i + LATTICE]) for i in range(0, len(word), LATTICE))
+            found = self.viterbi(self.lattice(word.lower(), apart))
+            if len(word) <= REMEMBERED:
+                if len(self.known) > 50_000:
+                    self.known.clear()
+                self.known[key] = found
         return found
 
     @staticmethod
-    def lattice(word: str) -> list[list[tuple[str, float]]]:
-        """The letters that each character may stand for ('' for none) with their log costs."""
-        out = []
+    def lattice(word: str, apart: bool = False) -> Iterator[tuple]:
+        """What each character may stand for."""
         for i, c in enumerate(word):
             again = i > 0 and word[i - 1] == c
             drawn = again and ((i > 1 and word[i - 2] == c) or word[i + 1 : i + 2] == c)
-            if c.isalpha():
-                out.append([(c, 0.0)] + ([("", DRAWN_OUT if drawn else DOUBLED)] if again else []))
-            else:
-                out.append([(x, SUBSTITUTED) for x in LEET.get(c, "")] + [("", DROPPED_SIGN if not c.isdigit() else DOUBLED if again else DROPPED_DIGIT)])
-        return out
-
-    def viterbi(self, word: str) -> str:
-        table_, logp = symbol_table(), self.logp
+            yield meanings(c, again, drawn, apart and i > 0)
+
+    def viterbi(self, lattice: Iterable[tuple]) -> str:
+        """The best path through a lattice of any length, in one search; what all paths have in common is put out on the way."""
+        logp, done = self.logp, []
         best = {(0, 0): (0.0, "")}
-        for choices in self.lattice(word.lower()):
+        for i, choices in enumerate(lattice):
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
-                for letter, cost in choices:
-                    if letter:
-                        s = int(table_[min(ord(letter[0]), 0xFFFF)])
-                        state, total, spelled = (b, s), score + cost + logp[(a * ALPHABET + b) * ALPHABET + s], text + letter
-                    else:
-                        state, total, spelled = (a, b), score + cost, text
-                    if state not in new or (total, spelled) > new[state]:
-                        new[state] = (total, spelled)
+                for spelled, letters, cost in choices:
+                    x, y, total = a, b, score + cost
+                    for s in letters:
+                        total += logp[(x * ALPHABET + y) * ALPHABET + s]
+                        x, y = y, s
+                    found = (total, text + spelled)
+                    if (x, y) not in new or found > new[x, y]:
+                        new[x, y] = found
             best = new
-        return max((score + logp[(a * ALPHABET + b) * ALPHABET], text) for (a, b), (score, text) in best.items())[1]
+            if i % 32 == 31 and (shared := os.path.commonprefix([t for _, t in best.values()])):
+                done.append(shared)
+                best = {k: (score, t[len(shared) :]) for k, (score, t) in best.items()}
+        done.append(max((score + logp[(a * ALPHABET + b) * ALPHABET], text) for (a, b), (score, text) in best.items())[1])
+        return "".join(done)
+
+
+#: Signs at a word's ends that stand for no letter.
+EDGES = ".,;:?\"'*#%&"
 
 
 @lru_cache
 def kinds() -> np.ndarray:
-    """By byte: 1 letter, 2 sign or digit of LEET, 4 other sign."""
+    """By byte: 1 letter, 2 digit of LEET, 3 sign of LEET, 4 other sign."""
     out = np.zeros(256, np.uint8)
     for b in range(33, 127):
-        out[b] = 1 if chr(b).isalpha() else 2 if chr(b) in LEET else 4 if not chr(b).isdigit() else 0
+        out[b] = 1 if chr(b).isalpha() else (2 if chr(b).isdigit() else 3) if chr(b) in LEET else 4
     return out
 
 
-def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[str]]:
-    """(document, word) of what looks disguised: a sign or digit before a letter, a letter thrice, letters apart."""
+@lru_cache
+def look_alike_pairs() -> np.ndarray:
+    """Which two bytes are a letter of LOOK_ALIKES."""
+    out = np.zeros(1 << 16, bool)
+    for c in LOOK_ALIKES:
+        for x in (c, c.upper()):
+            if len(coded := x.encode("utf-8")) == 2:
+                out[coded[0] << 8 | coded[1]] = True
+    return out
+
+
+def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[str, bool]]]:
+    """(document, number of the word) of all that may be disguised, and the distinct words: text, and whether it was spelled apart.
+
+    These are words of letters with a LEET sign or digit, a repeated letter, a
+    sign between letters or a look-alike among ASCII letters; words of LEET
+    signs and digits alone that have both; and three or more single characters
+    in a row that may stand for letters, not all of them signs.
+    """
     starts, ends, rows = words(data, offsets, SPACES)
     n = len(data)
     if not len(starts):
-        return [], []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
     kind = kinds()[data]
-    letter = kind == 1
-    odd = np.zeros(n + 1, np.int64)
-    mark = np.zeros(n, np.int64)
-    edge = np.zeros(n + 1, bool)
+    letter, edge = kind == 1, np.zeros(n + 1, bool)
     edge[offsets] = True  # what stands before belongs to another document
-    mark[:-1] += 2 * ((kind[:-1] == 2) & letter[1:] & ~edge[1:-1])
-    mark[2:] += 2 * (letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~edge[2:-1] & ~edge[1:-2])
-    mark[1:-1] += letter[:-2] & (kind[1:-1] >= 2) & letter[2:] & ~edge[1:-2] & ~edge[2:-1]
-    np.cumsum(mark, out=odd[1:])
-    score = odd[ends] - odd[starts]
+    low, alike, mark = lowered()[data], np.zeros(n, bool), np.zeros(n, bool)
+    mark[1:] |= letter[1:] & (low[1:] == low[:-1]) & ~edge[1:-1]
+    mark[1:-1] |= letter[:-2] & (kind[1:-1] >= 2) & letter[2:] & ~edge[1:-2] & ~edge[2:-1]
+    if (data >= 0x80).any():
+        alike[:-1] = look_alike_pairs()[data[:-1].astype(np.int64) << 8 | data[1:]]
+        alike[:-1] |= (data[:-1] == 0xEF) & ((data[1:] == 0xBC) | (data[1:] == 0xBD))
+
+    def count(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.zeros(n + 1, np.int64)
+        np.cumsum(a.astype(np.int64) | b.astype(np.int64) << 32, out=sums[1:])
+        found = sums[ends] - sums[starts]
+        return found & 0xFFFFFFFF, found >> 32
+
+    letters, digits = count(letter, kind == 2)
+    signs, marks = count(kind == 3, mark)
+    likes, points = count(alike, (data & 0xC0) != 0x80)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    out_row, out = [], []
-    for i in np.flatnonzero(score >= 2).tolist():
+    chosen = np.flatnonzero(((letters > 0) & (digits + signs + marks + likes > 0)) | ((letters == 0) & (digits > 0) & (signs > 0)))
+    chosen = chosen[points[chosen] > 1]
+    found = Spans(data, starts[chosen], ends[chosen])
+    _, first, number, _ = found.groups()
+    texts: list[tuple[str, bool]] = []
+    for i in chosen[first].tolist():
         text = data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
-        out_row.append(int(row[i]))
-        out.append(text.rstrip("#$%&*!?.,;:|\"')").lstrip("\"'#%&*(") or text)
-    single = (ends - starts == 1) & letter[starts]
-    begins, closes, _ = spans(single, rows)
-    for a, b in zip(begins.tolist(), closes.tolist(), strict=True):
-        if b - a >= 3:
-            out_row.append(int(row[a]))
-            out.append(data[starts[a:b]].tobytes().decode("ascii"))
-    return out_row, out
+        texts.append((text.strip(EDGES) or text, False))
+    begins, closes, _ = spans((points == 1) & (letters + digits + signs + likes > 0), rows)
+    lettered = np.concatenate([[0], np.cumsum(letters + likes)])
+    runs = np.flatnonzero((closes - begins >= 3) & (lettered[closes] > lettered[begins]))
+    for a, b in zip(begins[runs].tolist(), closes[runs].tolist(), strict=True):
+        texts.append((b"".join(data[starts[i] : ends[i]].tobytes() for i in range(a, b)).decode("utf-8", "replace"), True))
+    return np.concatenate([row[chosen], row[begins[runs]]]), np.concatenate([number, len(first) + np.arange(len(runs))]), texts
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +243,15 @@ def all_features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> t
     """(features, document of each) of the words as they are and of the restored ones."""
     plain, rows = features(data, offsets)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    where, odd = disguised(data, offsets)
-    if not odd:
+    where, number, texts = disguised(data, offsets)
+    restored = [restorer.restore(w, apart) for w, apart in texts]
+    changed = np.array([apart or r != w.lower() for r, (w, apart) in zip(restored, texts, strict=True)], bool)
+    if not changed.any():
         return plain, row
-    coded = [restorer.restore(w).encode("utf-8") for w in odd]
+    coded = [r.encode("utf-8") if c else b"" for r, c in zip(restored, changed.tolist(), strict=True)]
     more, more_rows = features(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
-    return np.concatenate([plain, more], axis=1), np.concatenate([row, np.repeat(np.array(where, np.int64), np.diff(more_rows))])
+    at, _ = ragged(more_rows[:-1][number], counts := np.diff(more_rows)[number])
+    return np.concatenate([plain, more[:, at]], axis=1), np.concatenate([row, np.repeat(where, counts)])
 
 
 @dataclass(frozen=True)
@@ -247,12 +314,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, purity
     """Language model of all ``docs``; word weights from at most ``most_labels`` labelled documents.
 
     Labels are (doc_id, toxic); the documents of the smallest hashes of doc_id
-    are taken, of the training part alone (crc32 of doc_id modulo 5 is not 0).
-    Three quarters of them give the weights, the others the prior and slope.
-    A word or prefix has a weight where toxic documents have it more often than
-    chance allows, all words counted together (5 % of one false one), and where
-    at least ``purity`` of the documents that have it are toxic. Of near copies
-    one is counted, as their words don't stand for independent documents.
+    are taken (of equal hashes the smaller ids), of the training part alone
+    (crc32 of doc_id modulo 5 is not 0). Three quarters of them give the
+    weights, the others the prior and slope. A word or prefix has a weight where
+    toxic documents have it more often than chance allows, all words counted
+    together (5 % of one false one), and where at least ``purity`` of the
+    documents that have it are toxic. Of near copies one is counted, as their
+    words don't stand for independent documents.
+
+    Rows of ``labels`` without a doc_id or label are left out, of several for a
+    document the highest label counts; rows that repeat a document count once.
+    Null text is empty. Texts of any length are read whole, and a word of any
+    length is restored in one search. Without documents or without labels of
+    both kinds no word has a weight, and the score is the share of toxic labels.
+    Other columns, whatever their names, are not looked at.
     """
     logp = language_model(trigram_counts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(logp)
@@ -319,7 +394,12 @@ def calibrated(model: Model, texts: DataFrame, least: int = 5) -> Model:
 
 
 def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``docs`` with the probability that each text is toxic; null text is empty."""
+    """``docs`` with the probability that each text is toxic, in a column ``out`` that replaces one of its name; other columns stay.
+
+    Null and empty texts have the probability of a text without known words.
+    Equal texts have equal scores; rows that repeat are scored each, texts of any
+    length whole; no rows give none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -333,13 +413,16 @@ def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """``docs`` without the rows of a score of ``limit`` or more."""
+    """``docs`` without the rows of a score of ``limit`` or more; all columns but ``_toxicity`` stay, also where a doc_id is null or repeats."""
     name = "_toxicity"
     return with_scores(docs, fit(docs, labels), name).where(F.col(name) < limit).drop(name)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of all documents. A null doc_id has no label and isn't held out."""
+    """Toxicity of all documents; nulls, empty and long texts, ties, repeated rows and empty tables as in ``fit`` and ``with_scores``.
+
+    A null doc_id has no label and isn't held out; a score of 0.5 is predicted toxic. Only doc_id and text are kept of the table.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))

@@ -9,12 +9,12 @@ from tests.llm.conftest import DOCUMENTS
 SF = "/root/testdata/sf0.1"
 
 
-def lattice_best(word, logp):
+def lattice_best(word, logp, apart=False):
     """The best path by trying all of them."""
     best = None
     paths = [(0.0, "")]
-    for choices in toxicity.Restorer.lattice(word.lower()):
-        paths = [(s + c, t + x) for s, t in paths for x, c in choices]
+    for choices in toxicity.Restorer.lattice(word.lower(), apart):
+        paths = [(s + c, t + x) for s, t in paths for x, _, c in choices]
     table = toxicity.symbol_table()
     for s, t in paths:
         a = b = 0
@@ -39,16 +39,38 @@ def test_language_model_sums_to_one(logp):
     assert np.allclose(np.exp(logp).sum(-1), 1)
 
 
-@pytest.mark.parametrize(("word", "want"), [("1d10t", "idiot"), ("stuuupid", "stupid"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("tr4$h", "trash"), ("i.d.i.o.t", "idiot"), ("l0ser", "loser"), ("cl0wn", "clown"), ("p@th3t1c", "pathetic"), ("idiot", "idiot")])
+@pytest.mark.parametrize(("word", "want"), [
+    ("1d10t", "idiot"), ("stuuupid", "stupid"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("tr4$h", "trash"), ("i.d.i.o.t", "idiot"), ("l0ser", "loser"), ("cl0wn", "clown"), ("p@th3t1c", "pathetic"), ("idiot", "idiot"),
+    ("idi07", "idiot"), ("idio7", "idiot"), ("lo$3r", "loser"), ("id-iot", "idiot"), ("idioott", "idiot"), ("mor\u043en", "moron"), ("\uff49diot", "idiot"), ("stup\u0456d", "stupid"),
+])
 def test_restores(logp, word, want):
     assert toxicity.Restorer(logp).restore(word) == want == lattice_best(word, logp)
 
 
+@pytest.mark.parametrize(("word", "want"), [("idiot", "idiot"), ("1diot", "idiot"), ("st0p1d", "stopid"), ("lo$er", "loser"), ("youareanidiot", "you are an idiot")])
+def test_restores_what_stood_apart(logp, word, want):
+    found = toxicity.Restorer(logp).restore(word, apart=True)
+    assert found == want and (len(word) > 8 or found == lattice_best(word, logp, True))
+
+
+def test_long_words_in_one_search(logp):
+    """Words far above 48 characters: the best of all paths where they can be tried, and the same as for short words within them."""
+    restorer = toxicity.Restorer(logp)
+    word = "weather" * 9 + "1d10t" + "weather" * 9
+    assert len(word) > 120 and restorer.restore(word) == lattice_best(word, logp) and "idiot" in restorer.restore(word)
+    long = "an.1d10t.and.a.m0r0n." * 2000
+    assert restorer.restore(long).count("idiot") == 2000 and (long, False) not in restorer.known
+    # where a word of 48 characters was cut before, the letters before the cut count now
+    for pad in range(40, 52):
+        assert restorer.restore("w" + "eather" * (pad // 6) + "." * (pad % 6) + "m0r0n").endswith("moron")
+
+
 def test_disguised_words():
-    texts = ["plain text, 1999 and foo### bar$$$", "an 1d10t here", "soooo i d i o t !", None, "", "a.b.c.d e"]
+    texts = ["plain text, 1999 was foo### bar$$$", "an 1d10t here", "soooo i d i o t !", None, "", "a.b.c.d e", "a$$ idio7, sh1+ id-iot; $100 4 5 6", "s h 1 t", "1 d i o t", "mor\u043en \u043c\u043e\u0440 \uff49diot", "s \u043e b"]
     coded = [(t or "").encode() for t in texts]
-    row, found = toxicity.disguised(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
-    assert sorted(zip(row, found, strict=True)) == [(1, "1d10t"), (2, "idiot"), (2, "soooo"), (5, "a.b.c.d")]
+    row, number, found = toxicity.disguised(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+    got = sorted((int(r), *found[n]) for r, n in zip(row, number, strict=True))
+    assert got == sorted([(0, "foo", False), (0, "bar$$$", False), (1, "1d10t", False), (2, "soooo", False), (2, "idiot!", True), (5, "a.b.c.d", False), (6, "a$$", False), (6, "idio7", False), (6, "sh1+", False), (6, "id-iot", False), (6, "$100", False), (7, "sh1t", True), (8, "1diot", True), (9, "mor\u043en", False), (9, "\uff49diot", False), (10, "s\u043eb", True)])
 
 
 @pytest.fixture(scope="module")
