@@ -229,10 +229,17 @@ out_ AS (SELECT r, c, inv, a, b, c3, d, e, f, g, h, i,
 _AT = {"a": (-1, -1), "b": (-1, 0), "c3": (-1, 1), "d": (0, -1), "f": (0, 1), "g": (1, -1), "h": (1, 0), "i": (1, 1)}
 
 
-def chain(cells: str, select: str, raw: bool = False) -> str:
-    joins = " ".join(f"LEFT JOIN {'cells' if raw else 'src'} {x}_ ON {x}_.r = m.r + ({dr}) AND {x}_.c = m.c + ({dc})" for x, (dr, dc) in _AT.items())
-    if raw:
-        return f"WITH cells AS ({cells}) SELECT m.r, m.c, round(m.z, 6) AS e, {', '.join(f'round({x}_.z, 6) AS {x}' for x in _AT)} FROM cells m {joins}"
+#: Neighbours of dense cells by windows: west and east within rows, then north and south within columns.
+AROUND = """WITH cells AS ({cells}),
+sides AS (SELECT r, c, z, lag(z) OVER w AS d, lead(z) OVER w AS f FROM cells WINDOW w AS (PARTITION BY r ORDER BY c))
+SELECT r, c, round(z, 6) AS e, round(d, 6) AS d, round(f, 6) AS f,
+  round(lag(d) OVER w, 6) AS a, round(lag(z) OVER w, 6) AS b, round(lag(f) OVER w, 6) AS c3,
+  round(lead(d) OVER w, 6) AS g, round(lead(z) OVER w, 6) AS h, round(lead(f) OVER w, 6) AS i
+FROM sides WINDOW w AS (PARTITION BY c ORDER BY r)"""
+
+
+def chain(cells: str, select: str) -> str:
+    joins = " ".join(f"LEFT JOIN src {x}_ ON {x}_.r = m.r + ({dr}) AND {x}_.c = m.c + ({dc})" for x, (dr, dc) in _AT.items())
     return CHAIN.format(cells=cells, fill=", ".join(f"coalesce({x}_.z, m.z) AS {x}" for x in _AT), joins=joins) + select
 
 
@@ -252,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "pad_top": chain(EV, "SELECT c, round(slope, 6) AS slope FROM out_ WHERE r = 0"),
         "pad_bottom": chain(EV, "SELECT r, c, round(slope, 6) AS slope FROM out_, dims WHERE r >= nr - 2"),
         "edge_mask": f"WITH cells AS ({EV}), dims AS (SELECT max(r) + 1 AS nr, max(c) + 1 AS nc FROM cells) SELECT r, c, (c = 0 OR c = nc - 1 OR r = nr - 1) AS is_edge FROM cells, dims",
-        "neighborhood_3x3": chain(EMB, "", raw=True),
+        "neighborhood_3x3": AROUND.format(cells=EMB),
         "nodata_mask": f"SELECT r, c, z = -9999.0 AS is_nodata FROM ({EV})",
         "nodata_fill": chain(EV, f"SELECT r, c, {', '.join(f'round({x}, 6) AS {x}' for x in ('a', 'b', 'c3', 'd', 'e', 'f', 'g', 'h', 'i'))} FROM out_ WHERE NOT inv"),
         "gradient_dx": value(EV, "dz_dx", "dz_dx"), "gradient_dy": value(EV, "dz_dy", "dz_dy"), "hillshade_aspect": value(EV, "hasp", "hasp"),
