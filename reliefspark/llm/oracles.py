@@ -57,3 +57,31 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND n_words_left >= 3 AND n_words_left >= 0.2 * n_words AS kept, n_frequent_lines, n_words_left FROM f
 """
+
+#: Windows of two lines, lines of 50 words, and lines with words that more than two empty ones part; all but the first of equal ones go.
+OP8 = f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, i, ls[i + 1] AS x, len(regexp_extract_all(ls[i + 1], {WORDS})) AS w FROM l, unnest(range(len(ls))) AS u(i)),
+two AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM lines),
+worded AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM lines WHERE w > 0),
+win AS (SELECT doc_id, i, 1 AS n FROM lines WHERE w >= 50
+  UNION ALL SELECT doc_id, i, 2 FROM two WHERE w + w2 >= 1
+  UNION ALL SELECT doc_id, i, nxt - i + 1 FROM worded WHERE nxt - i + 1 > 4),
+body AS (SELECT win.doc_id, i, n, ls[i + 1 : i + n] AS body FROM win JOIN l USING (doc_id)),
+again AS (SELECT doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM body) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM again, unnest(range(n)) AS u(o)),
+stretch AS (SELECT doc_id, count(*) AS n, count(*) FILTER (b IS NULL OR b <> i - 1) AS chunks FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM gone) GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(s.n, 0)::INTEGER AS n_removed, coalesce(chunks, 0)::INTEGER AS n_chunks,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN stretch s USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+#: What law op4 keeps: counts of 40 shards and their slots, and of each size of text how many documents.
+SHARD_LAW = """
+WITH n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT unnest(range(40)) AS shard)
+SELECT shard::INTEGER AS shard, (n // 40 + CASE WHEN shard < n % 40 THEN 1 ELSE 0 END)::BIGINT AS n_docs,
+  0::BIGINT AS first_slot, (n // 40 + CASE WHEN shard < n % 40 THEN 1 ELSE 0 END - 1)::BIGINT AS last_slot,
+  (n // 40 + CASE WHEN shard < n % 40 THEN 1 ELSE 0 END)::BIGINT AS n_slots FROM s, n
+"""

@@ -159,3 +159,9 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 12) -> Data
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts; nulls, empty and long texts, ties, repeated rows and an empty table as in ``balanced_shards``."""
     return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of op4's shards, and their slots: first, last and how many different ones."""
+    found = op4_shards(spark, sf_dir)
+    return found.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"))
