@@ -3,25 +3,8 @@
 import logging
 import sys
 
-from reliefspark.plans.run import run
-
-
-def main(args: list[str]) -> int:
-    if len(args) < 3 or len(args) % 2 == 0:
-        print(f"usage: {__doc__}", file=sys.stderr)
-        return 2
-    from pyspark.sql import SparkSession
-
-    logging.basicConfig(level=logging.INFO)
-    spark = SparkSession.builder.appName("reliefspark").getOrCreate()
-    try:
-        took = run(spark, args[0], args[1::2], [f.lower() for f in args[2::2]])
-    except (ValueError, FileNotFoundError) as e:
-        print(e, file=sys.stderr)
-        return 1
-    print(f"{len(args) // 2} outputs in {took:.1f} s")
-    return 0
-
+from reliefspark.plans.run import command
 
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:]))
+    logging.basicConfig(level=logging.INFO)
+    sys.exit(command(sys.argv[1:]))

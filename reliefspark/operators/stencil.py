@@ -7,6 +7,8 @@ cells are unfolded last, in the same generated code that computes the functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,90 @@ def fitting(rows: DataFrame, meta: RasterMeta) -> int:
     return strip_rows(meta.ncols, nrows=meta.nrows, tasks=rows.sparkSession.sparkContext.defaultParallelism)
 
 
+def of_strips(rows: DataFrame, compute: Callable, schema: str) -> DataFrame:
+    """``compute(rows' numbers, whether each is halo, cells as a matrix)`` of every strip, one in memory at a time; rows of a strip follow one another."""
+    import numpy as np
+
+    def whole(held: list):
+        numbers = np.concatenate([b.column("row").to_numpy() for b in held])
+        halo = np.concatenate([b.column("is_halo").to_numpy(zero_copy_only=False) for b in held])
+        return compute(numbers, halo, np.concatenate([b.column("z").flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(len(numbers), -1))
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            strips = batch.column("strip").to_numpy()
+            cuts = [0, *(np.flatnonzero(strips[1:] != strips[:-1]) + 1).tolist(), len(strips)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and strips[lo] != at:
+                    yield whole(held)
+                    held = []
+                at = strips[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield whole(held)
+
+    return rows.select("strip", "row", "is_halo", "z").mapInArrow(run, schema)
+
+
+def three_rows(rows: DataFrame) -> DataFrame:
+    """row, up, own and down of strips that come with their halo: no shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    def compute(numbers, halo, z):
+        own = np.flatnonzero(~halo)
+        offsets = np.arange(0, (len(own) + 1) * z.shape[1], z.shape[1], dtype=np.int32) if z.shape[1] else np.zeros(len(own) + 1, np.int32)
+        lists = []
+        for step in (-1, 0, 1):
+            at = own + step
+            none = (at < 0) | (at >= len(z))
+            lists.append(pa.ListArray.from_arrays(offsets, pa.array(z[np.clip(at, 0, len(z) - 1)].ravel()), mask=pa.array(none)))
+        return pa.RecordBatch.from_arrays([pa.array(numbers[own]), *lists], names=["row", "up", "own", "down"])
+
+    return of_strips(rows, compute, "row long, up array<float>, own array<float>, down array<float>")
+
+
+def gathered(cells: DataFrame, ncols: int, columns: list[str]) -> DataFrame:
+    """row and an array of each column, of cells that come in order with all cells of a row: no shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= ncols:
+                t = pa.Table.from_batches(held)
+                n = len(t) // ncols
+                whole, rest = t.slice(0, n * ncols).combine_chunks(), t.slice(n * ncols)
+                row, col = (whole.column(c).to_numpy().reshape(n, ncols) for c in ("row", "col"))
+                if (row != row[:, :1]).any() or (col != np.arange(ncols)).any():
+                    raise ValueError("cells aren't in order")
+                offsets = pa.array(np.arange(0, (n + 1) * ncols, ncols, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(row[:, 0]), *(pa.ListArray.from_arrays(offsets, whole.column(c).combine_chunks()) for c in columns)], names=["row", *columns])
+                held = rest.combine_chunks().to_batches() if len(rest) else []
+        if held:
+            raise ValueError("a row has too few cells")
+
+    cells = cells.select("row", "col", *(F.col(c).cast("float").alias(c) for c in columns))
+    return cells.mapInArrow(run, ", ".join(["row long", *(f"{c} array<float>" for c in columns)]))
+
+
 def neighbours(rows: DataFrame, meta: RasterMeta, height: int | None = None) -> DataFrame:
-    """row, col and the raw cells a to i around each cell; null beyond the grid."""
-    strips = with_halo(rows, meta.nrows, height or fitting(rows, meta))
-    within = Window.partitionBy("strip").orderBy("row")
-    three = strips.select("row", "z", "is_halo", F.lag("z").over(within).alias("up"), F.lead("z").over(within).alias("down"))
-    cells = three.where("not is_halo").select("row", "up", F.col("z").alias("own"), "down", F.posexplode("z").alias("col", "e"))
+    """row, col and the raw cells a to i around each cell; null beyond the grid. Cells of a row come in order.
+
+    Rows are shuffled once, by strip; strips of a source with their halo aren't.
+    """
+    if "strip" in rows.columns:
+        three = three_rows(rows)
+    else:
+        within = Window.partitionBy("strip").orderBy("row")
+        strips = with_halo(rows, meta.nrows, height or fitting(rows, meta))
+        three = strips.select("row", F.col("z").alias("own"), "is_halo", F.lag("z").over(within).alias("up"), F.lead("z").over(within).alias("down")).where("not is_halo")
+    cells = three.select("row", "up", "own", "down", F.posexplode("own").alias("col", "e"))
     beside = {x: F.get(line, F.col("col") + d).cast("double") for line, letters in (("up", "abc"), ("own", "d f"), ("down", "ghi")) for x, d in zip(letters, (-1, 0, 1), strict=True) if x != " "}
     return cells.select("row", "col", *((F.col("e").cast("double") if x == "e" else beside[x]).alias(x) for x in LETTERS))
 
@@ -71,8 +151,8 @@ def focal(rows: DataFrame, meta: RasterMeta, functions: list[str] | dict[str, Bu
     return evaluate(filled(neighbours(rows, meta, height), meta, boundary), meta, built)
 
 
-def focal_strips(rows: DataFrame, meta: RasterMeta, names: list[str], *, boundary: str = "observed", height: int | None = None) -> DataFrame:
-    """The same by NumPy kernels: row, and an array for each name (numbered where a name comes twice). One strip with its halo is in memory at a time."""
+def focal_strips(rows: DataFrame, meta: RasterMeta, names: list[str], *, boundary: str = "observed", height: int | None = None, single: bool = False) -> DataFrame:
+    """The same by NumPy kernels: row, and an array for each name (numbered where a name comes twice), in single precision if asked."""
     import numpy as np
     import pyarrow as pa
 
@@ -81,33 +161,15 @@ def focal_strips(rows: DataFrame, meta: RasterMeta, names: list[str], *, boundar
     if unknown := [x for x in names if x.lower() not in KERNELS]:
         raise ValueError(f"unknown kernel {unknown[0]!r}; known are {', '.join(sorted(KERNELS))}")
     kernels, columns = [KERNELS[x.lower()] for x in names], [f"v{i}" for i in range(len(names))]
+    kind = np.float32 if single else np.float64
 
-    def compute(held: list) -> pa.RecordBatch:
-        rows = np.concatenate([b.column("row").to_numpy() for b in held])
-        halo = np.concatenate([b.column("is_halo").to_numpy(zero_copy_only=False) for b in held])
-        z = np.concatenate([b.column("z").flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(len(rows), -1)
+    def compute(numbers, halo, z):
         own = np.flatnonzero(~halo)
-        above, below = int(own[0]), len(rows) - 1 - int(own[-1])
-        values = apply_kernels(z, int(rows[own[0]]), above, below, meta, kernels, boundary)
+        above, below = int(own[0]), len(numbers) - 1 - int(own[-1])
+        values = apply_kernels(z, int(numbers[own[0]]), above, below, meta, kernels, boundary)
         offsets = np.arange(0, (len(own) + 1) * z.shape[1], z.shape[1], dtype=np.int32) if z.shape[1] else np.zeros(len(own) + 1, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(rows[own]), *(pa.ListArray.from_arrays(offsets, v.ravel()) for v in values)], names=["row", *columns])
-
-    def run(batches):
-        held, at = [], None
-        for batch in batches:
-            strips = batch.column("strip").to_numpy()
-            cuts = [0, *(np.flatnonzero(strips[1:] != strips[:-1]) + 1).tolist(), len(strips)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if held and strips[lo] != at:
-                    yield compute(held)
-                    held = []
-                at = strips[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield compute(held)
+        return pa.RecordBatch.from_arrays([pa.array(numbers[own]), *(pa.ListArray.from_arrays(offsets, v.astype(kind, copy=False).ravel()) for v in values)], names=["row", *columns])
 
     if "strip" not in rows.columns:  # a source that gives strips with their halo needs no shuffle
         rows = with_halo(rows, meta.nrows, height or fitting(rows, meta)).repartition("strip").sortWithinPartitions("strip", "row")
-    return rows.select("strip", "row", "is_halo", "z").mapInArrow(run, ", ".join(["row long", *(f"{c} array<double>" for c in columns)]))
+    return of_strips(rows, compute, ", ".join(["row long", *(f"{c} array<{'float' if single else 'double'}>" for c in columns)]))

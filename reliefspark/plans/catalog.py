@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reliefspark.functions.focal import register_focal
 from reliefspark.meta import RasterMeta, output_path
 from reliefspark.operators import grid, stencil, strips
-from reliefspark.plans.run import run
+from reliefspark.plans.run import command, run
 from reliefspark.sources.ascii_grid import ascii_text
 from reliefspark.sources.files import scratch_dir, store_of
-from reliefspark.sources.raster import read_raster, write_raster
+from reliefspark.sources.raster import read_header, read_raster, write_raster
 
 NODATA, STRIP = -9999.0, 16
 
@@ -189,6 +192,61 @@ def run_slope_file(spark, sf_dir):
     return _file_cells(spark, out)
 
 
+def _part_file(spark, sf_dir) -> tuple[str, str]:
+    rows, meta = part_rows(spark, sf_dir)
+    folder = scratch_dir(spark)
+    write_raster(rows, f"{folder}/in.tif", meta)
+    return folder, f"{folder}/in.tif"
+
+
+def _outputs(spark, found: dict[str, str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_file_cells(spark, path).withColumn("output", F.lit(name)) for name, path in found.items()])
+
+
+def run_three_outputs(spark, sf_dir):
+    """Three functions from one scan to three files."""
+    folder, source = _part_file(spark, sf_dir)
+    outs = {f: output_path(folder, source, f) for f in ("slope", "aspect", "hillshade")}
+    run(spark, source, list(outs.values()), list(outs), strip=8)
+    return _outputs(spark, outs)
+
+
+def run_views(spark, sf_dir):
+    """Results as views, and a view as input: the slope of a slope."""
+    folder, source = _part_file(spark, sf_dir)
+    outs = {f: output_path(folder, source, f) for f in ("slope", "mean")}
+    names = {f: f"{f}_{uuid.uuid4().hex}" for f in outs}
+    run(spark, source, list(outs.values()), list(outs), views=list(names.values()))
+    both = [rc(grid.cells_from_rows(spark.table(n)), F.round(F.col("z").cast("double"), 3).alias("z"), F.lit(f).alias("output")) for f, n in names.items()]
+    return both[0].unionByName(both[1])
+
+
+def run_command_line(spark, sf_dir):
+    """The same through the command line's function, in the session that there is."""
+    folder, source = _part_file(spark, sf_dir)
+    outs = {f: output_path(folder, source, f) for f in ("aspect", "hillshade")}
+    args = [x for f, path in outs.items() for x in (path, f.upper())]
+    if command([source, *args], spark):
+        raise RuntimeError("the command failed")
+    return _outputs(spark, outs)
+
+
+def run_user_function(spark, sf_dir):
+    """A function that has no kernel, as a Column, from a file to a file without a shuffle of cells."""
+    register_focal("corner_drop", lambda n, dx, dy, meta: n.i - n.a + dx)
+    folder, source = _part_file(spark, sf_dir)
+    run(spark, source, [f"{folder}/out.tif"], ["corner_drop"], strip=8)
+    return _file_cells(spark, f"{folder}/out.tif")
+
+
+def sink_tiles_roundtrip(spark, sf_dir):
+    """A folder of tiles, read as one raster and through a halo."""
+    folder, source = _part_file(spark, sf_dir)
+    write_raster(read_raster(spark, source, strip=8)[0], f"{folder}/tiles.tif", read_header(source), layout="tiles", rows_per_strip=4)
+    run(spark, f"{folder}/tiles.tif", [f"{folder}/out.tif"], ["slope"], strip=6, layout="tiles")
+    return _outputs(spark, {"z": f"{folder}/tiles.tif", "slope": f"{folder}/out.tif"})
+
+
 def queries() -> dict:
     both = {}
     for f in ("slope", "aspect", "hillshade"):
@@ -200,6 +258,7 @@ def queries() -> dict:
         "gradient_dx": focal_query(ev, ["dz_dx"], ["dz_dx"]), "gradient_dy": focal_query(ev, ["dz_dy"], ["dz_dy"]), "hillshade_aspect": focal_query(ev, ["hillshade_aspect"], ["hasp"]),
         "multi_function": focal_query(ev, ["slope", "aspect", "hillshade"], ["slope", "aspect", "hillshade"]), "custom_focal_mean": focal_query(ev, ["mean"], ["value"]), "custom_focal_laplacian": focal_query(ev, ["laplacian"], ["value"]), "custom_focal_pandas": custom_focal_pandas,
         "scan_ascii_grid": scan_ascii_grid, "scan_geotiff": scan_geotiff, "sink_geotiff_roundtrip": sink_geotiff_roundtrip, "scan_format_dispatch": scan_format_dispatch, "run_slope_file": run_slope_file,
+        "run_three_outputs": run_three_outputs, "run_views": run_views, "run_command_line": run_command_line, "run_user_function": run_user_function, "sink_tiles_roundtrip": sink_tiles_roundtrip,
     }
 
 
@@ -245,6 +304,8 @@ def chain(cells: str, select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     value = lambda cells, column, name: chain(cells, f"SELECT r, c, CASE WHEN round({column}, 6) = 0 THEN 0.0 ELSE round({column}, 6) END AS {name} FROM out_")
+    single = lambda column: f"round(CAST(CAST({column} AS FLOAT) AS DOUBLE), 3)"
+    outputs = lambda *columns: chain(PART, " UNION ALL ".join(f"SELECT r, c, {single(column)} AS z, '{name}' AS output FROM out_" for name, column in columns))
     part = f"WITH cells AS ({PART}) SELECT r, c, round(z, 3) AS z FROM cells"
     out = {}
     for f in ("slope", "aspect", "hillshade"):
@@ -267,5 +328,9 @@ def oracle_sql() -> dict[str, str]:
         "custom_focal_mean": value(EV, "mean_", "value"), "custom_focal_laplacian": value(EV, "laplacian_", "value"), "custom_focal_pandas": value(EV, "laplacian_", "value"),
         "scan_ascii_grid": part, "scan_geotiff": part, "sink_geotiff_roundtrip": part,
         "scan_format_dispatch": f"WITH cells AS ({PART}) SELECT r, c, round(z, 3) AS z, f AS format FROM cells, (SELECT unnest(['asc', 'tif']) AS f)",
+        "run_three_outputs": outputs(("slope", "slope"), ("aspect", "aspect"), ("hillshade", "hillshade")),
+        "run_views": outputs(("slope", "slope"), ("mean", "mean_")), "run_command_line": outputs(("aspect", "aspect"), ("hillshade", "hillshade")),
+        "run_user_function": chain(PART, f"SELECT r, c, {single('CASE WHEN inv THEN -9999.0 ELSE i - a + dx END')} AS z FROM ang"),
+        "sink_tiles_roundtrip": chain(PART, f"SELECT r, c, {single('slope')} AS z, 'slope' AS output FROM out_ UNION ALL SELECT r, c, round(z, 3), 'z' FROM cells"),
         "run_slope_file": chain(PART, "SELECT r, c, round(CAST(CAST(slope AS FLOAT) AS DOUBLE), 3) AS z FROM out_"),
     }

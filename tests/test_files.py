@@ -131,6 +131,10 @@ def test_sink(spark, tmp_path, layout):
     else:
         tiles = sorted(Path(out).iterdir())
         assert np.array_equal(np.concatenate([grid_of(spark, t) for t in tiles]), z) and read_header(str(tiles[0])).geotransform[3] == 200.0
+        assert len(tiles) > 1 and read_header(out) == meta
+        for strip in (1, 6, 100):
+            assert np.array_equal(grid_of(spark, out, strip=strip), z)
+        assert np.array_equal([r.z for r in read_raster(spark, out)[0].where("row >= 15 and row < 18").orderBy("row").collect()], z[15:18])
     assert not list(tmp_path.glob("*.parts*"))
     with pytest.raises(Exception, match="don't make up|aren't in order"):
         write_raster(frame(spark, z).where("row <> 9 and row < 50"), str(tmp_path / "gap.tif"), meta)
@@ -192,3 +196,55 @@ def test_command_line(tmp_path):
     done = go(str(tmp_path / "x.asc"), out, "SLOPE")
     assert done.returncode == 0 and "1 outputs" in done.stdout and read_header(out).ncols == 6
     assert go(str(tmp_path / "x.asc"), out, "other").returncode == 1
+
+
+def exchanges(spark, job):
+    """Shuffles in the plans of the queries that ``job`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    return sum(r.physicalPlanDescription().count("Exchange") for r in runs if r.executionId() not in before)
+
+
+def test_no_shuffle_from_file_to_file(spark, tmp_path):
+    """Several functions, with kernels and without: one job, no exchange, the same values as from a table."""
+    z = np.random.default_rng(3).integers(0, 90, (61, 9)).astype(float)
+    z[4, 4] = N
+    source, meta = str(tmp_path / "dem.tif"), RasterMeta(9, 61)
+    write_raster(frame(spark, z), source, meta)
+    register_focal("corners", lambda n, dx, dy, m: n.a + n.i - n.c - n.g + dy)
+    outs = [str(tmp_path / f"o{i}.tif") for i in range(3)]
+    again = [str(tmp_path / f"t{i}.tif") for i in range(3)]
+    for functions in (["slope", "hillshade", "mean"], ["corners", "slope", "corners"]):
+        assert exchanges(spark, lambda f=functions: run(spark, source, outs, f, strip=7)) == 0
+        run(spark, frame(spark, z).repartition(3), again, functions, meta=meta, strip=5)
+        assert all(np.allclose(grid_of(spark, a), grid_of(spark, b), atol=1e-5) for a, b in zip(outs, again, strict=True))
+    assert exchanges(spark, lambda: write_raster(frame(spark, z), outs[0], meta)) > 0
+
+
+def test_tiles_above_a_size(spark, tmp_path, monkeypatch):
+    from reliefspark.sources import raster
+
+    source, meta = str(tmp_path / "dem.tif"), RasterMeta(6, 5)
+    monkeypatch.setattr(raster, "TILES_FROM", 6 * 5 * 4 + 1)
+    write_raster(frame(spark, HOLE), source, meta)
+    assert Path(source).is_file()
+    monkeypatch.setattr(raster, "TILES_FROM", 6 * 5 * 4)
+    for _ in range(2):  # a folder takes the place of a file, and of a folder
+        write_raster(frame(spark, HOLE), source, meta)
+        assert Path(source).is_dir()
+    write_raster(frame(spark, HOLE), source, meta, layout="single")
+    assert Path(source).is_file() and np.array_equal(grid_of(spark, source), HOLE.astype(np.float32))
+    with pytest.raises(ValueError, match="layout"):
+        write_raster(frame(spark, HOLE), source, meta, layout="none")
+
+
+def test_an_abort_leaves_nothing(spark, tmp_path):
+    out, meta = str(tmp_path / "x.tif"), RasterMeta(6, 5)
+    write_raster(frame(spark, HOLE), out, meta)
+    bad = frame(spark, HOLE).withColumn("z", F.when(F.col("row") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("z")))
+    with pytest.raises(Exception, match="lost"):
+        write_raster(bad, out, meta)
+    assert np.array_equal(grid_of(spark, out), HOLE.astype(np.float32)) and [p.name for p in tmp_path.iterdir()] == ["x.tif"]
