@@ -1,8 +1,9 @@
-"""Line dedup in DataFrame functions alone.
+"""Line dedup by content-defined chunks, in DataFrame functions alone.
 
-A rolling hash over each line and those before it is looked up at every line, so
-that a passage is found wherever it stands; a line of many words is looked up
-by itself too. What comes again anywhere is compared byte by byte with its first
+A rolling hash over the last two lines is taken at every line (a line of many
+words has one of its own). A chunk begins where this hash comes again anywhere
+in the corpus and ends where it stops to, so its bounds depend on its lines
+alone, wherever it stands. Chunks are compared byte by byte with their first
 occurrence, and removed.
 """
 
@@ -90,10 +91,14 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) ->
 def line_dedup(docs: DataFrame, *, drop_emptied: bool = False, **how) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and n_lines, n_removed and n_chunks besides.
 
-    Null texts stay null, with no lines. Rows that repeat both id and text are
-    one document: each keeps what the other keeps. A null doc_id comes last in
-    the order of documents. With ``drop_emptied`` rows go that lose all their
-    words.
+    Null texts stay null, with no lines; an empty text is one line without a
+    word. Texts and passages of any length are looked at whole. Rows that repeat
+    both id and text are one document: each keeps what the other keeps. Of equal
+    passages the one in the smallest doc_id stays, within a document the first;
+    a null doc_id comes last in the order of documents. No rows give none. All
+    columns stay, but input columns n_lines, n_removed and n_chunks are replaced
+    and _id, _mark, gone and chunks may not be used. With ``drop_emptied`` rows
+    go that lose all their words.
     """
     gone = repeated_lines(docs, **how)
     joined = keyed(docs).join(gone, ["_id", "_mark"], "left")
@@ -112,5 +117,5 @@ def line_dedup(docs: DataFrame, *, drop_emptied: bool = False, **how) -> DataFra
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the passages that an earlier place has."""
+    """All documents without the passages that an earlier place has; nulls, empty and long texts, ties, repeated rows and an empty table as in ``line_dedup``."""
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_chunks", "text")

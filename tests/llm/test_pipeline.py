@@ -26,7 +26,7 @@ def test_stages(spark, sf, documents):
             scored = toxicity.with_scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
             assert after == {r.doc_id: r.text for r in scored if r.score < 0.5}
         if name == "line dedup":
-            want = {i: t for i, _, n, _, t in test_linededup.brute(list(before.items())) if not n or test_linededup.WORD.search(t)}
+            want = {i: t for i, _, n, _, t in test_linededup.whole(list(before.items())) if not n or test_linededup.WORD.search(t)}
             assert after == want and all(r.n_chars == len(r.text) for r in out.collect() if r.text != before[r.doc_id])
         if name == "near dedup":
             assert after == {i: before[i] for i, _, _, kept in test_neardup.brute(list(before.items()), 5) if kept}
