@@ -450,7 +450,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = 1 << 16) -> str:
 
 
 def encode_column(docs: DataFrame, tokenizer: str, lexicon: str | None = None, column: str = "text", out: str = "ids") -> DataFrame:
-    """Appends the ids of a text column (null text: no ids) as array<int>."""
+    """Appends the ids of a text column (null or empty text: no ids) as array<int>; a column ``out`` is replaced, all others and all rows stay."""
 
     def encode(batches):
         encoder = worker_encoder(tokenizer, lexicon)
@@ -500,7 +500,11 @@ ROUND_TRIP = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the text decoded from them, by document.
 
-    Without ``with_ids`` only the digests of each side leave the worker. Columns besides doc_id and text are left out.
+    Without ``with_ids`` only the digests of each side leave the worker. Null and
+    empty texts have no ids; texts and words of any length are encoded whole; a
+    null doc_id stays null; rows that repeat are rows of their own; no rows give
+    none. Merges of equal rank are made from the left. Columns besides doc_id and
+    text, whatever their names, are left out.
     """
 
     def run(batches):
@@ -526,6 +530,6 @@ def default_tokenizer() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Every document encoded and decoded again; null and empty texts have no ids, and rows that repeat are rows of their own."""
+    """Every document encoded and decoded again; nulls, empty and long texts, ties, repeated rows and an empty table as in ``round_trip``."""
     docs, tokenizer = table(spark, sf_dir, "documents"), tokenizer or default_tokenizer()
     return round_trip(docs, tokenizer, build_lexicon(docs, tokenizer))

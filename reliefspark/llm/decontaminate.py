@@ -191,9 +191,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, covera
     """Pairs of a document and a benchmark item of which it has at least ``coverage`` of the words, in tiles of ``seed`` words or more.
 
     An item of fewer words than ``seed`` is one tile of all its words. Items
-    without words or without an id match nothing; null text is empty; rows that
-    repeat a doc_id or an item_id are taken each. ``text_key`` (xxhash64 of the
-    text) tells such documents apart.
+    without words or without an id match nothing; null text is empty and holds
+    nothing; a null doc_id stays null; rows that repeat a doc_id or an item_id
+    are taken each, equal rows too. ``text_key`` (xxhash64 of the text) tells such
+    documents apart. Texts of any length are searched whole. Of equally long
+    matches the first in the item is marked, there the first in the document; a
+    coverage just at the limit counts. Without documents or items there are no
+    pairs. Other columns, whatever their names, are left out.
 
     Seeds of the benchmark are sent to all workers in blocks of at most
     ``block_bytes``, and the documents are read once for each block. Only hits
@@ -237,11 +241,11 @@ def tiling(seed: int):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns stay."""
+    """``docs`` without the rows that hold a benchmark item; all columns stay, names of any kind but _i and _k; nulls, empty and long texts, ties, repeated rows and empty tables as in ``contaminated``."""
     found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).distinct()
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold benchmark items, a row for each pair."""
+    """The documents that hold benchmark items, a row for each pair; nulls, empty and long texts, ties, repeated rows and empty tables as in ``contaminated``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")

@@ -182,9 +182,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     the buckets; smaller sets leave few elements out of their registers, so
     their estimates are closer.
 
-    Null or empty texts are linked with nothing. Rows without a doc_id are kept,
-    have no component and no links; rows that repeat a doc_id belong to the
-    component of that id. Extra columns are left out.
+    Null or empty texts are linked with nothing. Texts of any length are taken
+    whole: a set is held by one task at a time, with those of its block. Two
+    sets just at the limit are linked. Rows without a doc_id are kept, have no
+    component and no links; rows that repeat a doc_id belong to the component of
+    that id. No rows give none. Extra columns, whatever their names, are left
+    out.
     """
     rows = written(signatures(docs, size), "signatures")
     full = rows.where("doc_id is not null and set_key is not null")
@@ -406,11 +409,15 @@ def weak_edges(placed: DataFrame, sketches: DataFrame, floor: float, num: int, d
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id. Rows that repeat a doc_id count as one document."""
+    """``docs`` with one document of each component, the one of the smallest doc_id; all columns but ``_gone`` stay.
+
+    Rows that repeat a doc_id count as one document; rows without one, and null,
+    empty and long texts, ties and empty tables as in ``near_duplicates``.
+    """
     gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicates of all documents on shingles of two words, similarity 0.8."""
+    """Near-duplicates of all documents on shingles of two words, similarity 0.8; nulls, empty and long texts, ties, repeated rows and an empty table as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, star_rounds=4)

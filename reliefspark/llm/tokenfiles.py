@@ -64,8 +64,10 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, *, end_id: int | None
     """Encodes ``docs`` (doc_id, text) and writes the files to the folder ``to``.
 
     Null ids of documents come first, rows that repeat one are ordered by their
-    text; null text is empty. One range shuffle of the text puts the documents
-    in order. Extra columns are left out.
+    text, and equal rows are rows of their own; null text is empty, and has the
+    end id alone. Texts of any length are one row. No documents make files
+    without rows. One range shuffle of the text puts the documents in order.
+    Extra columns, whatever their names, are left out.
     """
     if ids_encoding not in ("dictionary", "delta"):
         raise ValueError("ids_encoding is 'dictionary' or 'delta'")
@@ -116,7 +118,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Token files of all documents, written and read back; no documents: no rows."""
+    """Token files of all documents, written and read back; nulls, empty and long texts, ties, repeated rows and an empty table as in ``write_tokens``."""
     to = fresh_dir(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), to, tokenizer or default_tokenizer())
     return with_crc32(read_tokens(spark, to))

@@ -224,7 +224,9 @@ def write_warc(pages: DataFrame, to: str, *, min_bytes: int = 0, date: str = "19
     attempt writes a file of its own name and moves it in place when whole; the
     manifest names the files of the attempts that Spark accepted, so a lost
     executor leaves at most a file that nobody reads. Null html is an empty
-    payload, null url a ``urn:page:`` one; extra columns are left out.
+    payload, null url a ``urn:page:`` one; a payload of any length is one record;
+    ties and repeated rows as in ``with_refers_to``; no pages make no archive;
+    extra columns are left out.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +286,11 @@ def read_warc(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to WARC archives and back; a row for each page.
 
-    Null html is an empty payload and null page_id stays null. Rows that repeat
-    both id and payload of a response are responses too. No pages: no archives
-    and no rows.
+    Null html is an empty payload and null page_id stays null. Payloads of any
+    length are one record each, held in memory one at a time. Of equal payloads
+    the smallest page_id is the response; rows that repeat both id and payload
+    of a response are responses too. No pages: no archives and no rows. Other
+    columns than page_id, url and html, whatever their names, are left out.
     """
     manifest = write_warc(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
     return read_warc(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
