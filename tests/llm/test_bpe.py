@@ -111,3 +111,62 @@ def test_no_token_files(spark, no_documents):
     to = fresh_dir(spark, "t")
     tokenfiles.write_tokens(no_documents, to, PATH)
     assert tokenfiles.with_crc32(tokenfiles.read_tokens(spark, to)).count() == 0
+
+
+def metadata(to):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    return [pq.ParquetFile(p) for p in sorted(glob.glob(f"{to.removeprefix('file:').replace('//', '/', 1)}/part-*.parquet"))]
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_encodings_and_page_indexes(spark, encoding):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', (i * id) % 97))) as text")
+    to = fresh_dir(spark, "t")
+    tokenfiles.write_tokens(docs, to, PATH, ids_encoding=encoding, page_rows=64, page_bytes=4 << 10, row_group_bytes=128 << 10)
+    files = metadata(to)
+    assert sum(f.metadata.num_rows for f in files) == 4000 and max(f.metadata.num_row_groups for f in files) > 1
+    for f in files:
+        for g in range(f.metadata.num_row_groups):
+            columns = {c.path_in_schema: c for i in range(f.metadata.num_columns) for c in [f.metadata.row_group(g).column(i)]}
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            assert all(c.has_offset_index for c in columns.values()) and all(c.has_column_index for n, c in columns.items() if not n.startswith("ids"))
+            assert ("RLE_DICTIONARY" in ids.encodings) == (encoding == "dictionary")
+            assert encoding == "dictionary" or "DELTA_BINARY_PACKED" in ids.encodings
+            assert all("DELTA_BINARY_PACKED" in columns[n].encodings for n in ("doc_id", "part_start", "n_tokens"))
+
+
+def read_rows(spark, to, **how):
+    """Rows and bytes that the scan of the files gives to a query, by its metrics."""
+    df = tokenfiles.read_tokens(spark, to, **how)
+    found = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    scans, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+            continue
+        if p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if p.nodeName().startswith("Scan parquet"):
+            scans.append(p)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found, text, [s.metrics().apply("numOutputRows").value() for s in scans]
+
+
+def test_selective_reads_skip_pages(spark):
+    """A condition on doc_id reads pages, not files or row groups; metadata reads leave the ids alone."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('some words of document ', id) as text").repartition(1)
+    to = fresh_dir(spark, "t")
+    tokenfiles.write_tokens(docs, to, PATH, page_rows=100)
+    assert max(f.metadata.num_row_groups for f in metadata(to)) == 1  # so that it is pages that are skipped
+    found, text, scanned = read_rows(spark, to, where=(bpe.F.col("doc_id") >= 7000) & (bpe.F.col("doc_id") < 7010))
+    assert sorted(r.doc_id for r in found) == list(range(7000, 7010))
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,7000)" in text and min(scanned) <= 300
+    found, text, _ = read_rows(spark, to, columns=("doc_id", "start", "n_tokens"))
+    assert len(found) == 20_000 and "ids:" not in text.split("ReadSchema")[1]
