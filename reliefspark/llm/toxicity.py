@@ -386,10 +386,20 @@ def calibrated(model: Model, texts: DataFrame, least: int = 5) -> Model:
     if min(y.sum(), (1 - y).sum()) < least:
         return model
     design, w = np.stack([np.ones(len(x)), x], axis=1), np.array([model.prior, 1.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-6, 0.5]), design.T @ (y - p) - np.array([0, 0.5]) * (w - [0, 1]))
-        w = w + np.clip(step, -2, 2)
+
+    def likelihood(w: np.ndarray) -> float:
+        z = design @ w
+        return float((y * z - np.logaddexp(0, z)).sum() - (w[1] - 1) ** 2 / 4)
+
+    for _ in range(100):  # Newton's steps, halved until they climb
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        uphill = design.T @ (y - p) - np.array([0, 0.5]) * (w - [0, 1])
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-9, 0.5]), uphill)
+        while likelihood(w + step) < likelihood(w) and np.abs(step).max() > 1e-12:
+            step = step / 2
+        if np.abs(step).max() < 1e-10:
+            break
+        w = w + step
     return Model(model.keys, model.weights, float(w[0]), model.logp, max(0.05, float(w[1])))
 
 

@@ -1,7 +1,12 @@
+import math
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from reliefspark.llm import toxicity
 from tests.llm.conftest import DOCUMENTS
@@ -114,3 +119,89 @@ def test_copies_count_once(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 0, "", "", "", "") for r in rows], DOCUMENTS)
     kept = {r.doc_id for r in toxicity.shared_ids(docs).collect()}
     assert kept >= {0, 200, *range(100, 120)} and len(kept) <= 24
+
+
+def plain_gate(text):
+    """What may be disguised, word by word: see ``disguised``."""
+    tokens, out, run = re.findall(r"[^\x20\x09-\x0D]+", text), [], []
+    ascii_letter = lambda c: c.isascii() and c.isalpha()
+    alike = lambda c: c in toxicity.LOOK_ALIKES or c.lower() in toxicity.LOOK_ALIKES and len(c.encode()) == 2 or c.encode()[:2] in (b"\xef\xbc", b"\xef\xbd")
+    sign = lambda c: c.isascii() and not c.isspace() and c.isprintable() and not c.isalnum()
+
+    def close():
+        if len(run) >= 3 and any(ascii_letter(c) or alike(c) for c in run):
+            out.append(("".join(run), True))
+        run.clear()
+
+    for w in tokens:
+        letters, digits = sum(map(ascii_letter, w)), sum(c in toxicity.LEET and c.isdigit() for c in w)
+        signs, likes = sum(c in toxicity.LEET and not c.isdigit() for c in w), sum(map(alike, w))
+        twice = any(ascii_letter(a) and a.lower() == b.lower() for a, b in zip(w, w[1:]))
+        between = any(ascii_letter(a) and (sign(b) or b in toxicity.LEET) and ascii_letter(c) for a, b, c in zip(w, w[1:], w[2:]))
+        if len(w) > 1 and (letters and (digits or signs or likes or twice or between) or not letters and digits and signs):
+            out.append((w.strip(toxicity.EDGES) or w, False))
+        if len(w) == 1 and letters + digits + signs + likes:
+            run.append(w)
+        else:
+            close()
+    close()
+    return out
+
+
+def plain_words(text):
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    return re.findall(r"(?:[0-9a-z]|[^\x00-\x7F])+", low)
+
+
+def plain_features(text, restorer):
+    """By distinct word: the word and its prefixes of 4 to 8 bytes."""
+    words = set(plain_words(text))
+    for w, apart in plain_gate(text):
+        words |= set(plain_words(restorer.restore(w, apart)))
+    return {w: [w, *((n, w.encode()[:n]) for n in toxicity.PREFIXES if len(w.encode()) > n)] for w in words}
+
+
+def test_scores_by_hand(spark):
+    """Model and scores by dictionaries: character counts, words, restored words, weights, chance limit, calibration."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    table, counts = toxicity.symbol_table(), np.zeros((64, 64, 64))
+    for t in texts.values():
+        s = [0, 0, *(int(table[min(ord(c), 0xFFFF)]) for c in t), 0, 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[a, b, c] += 1
+    counts[0, 0, 0] = 0  # how many ends follow one another depends on how documents are put together
+    model = toxicity.fit(docs, labels)
+    made = toxicity.trigram_counts(docs)
+    made[0, 0, 0] = 0
+    assert (made == counts).all()
+    restorer = toxicity.Restorer(model.logp)
+    chosen = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    single = {r.doc_id for r in toxicity.shared_ids(docs.where(docs.doc_id.isin(list(chosen)))).collect()}
+    quarter = lambda i: xxhash.xxh64_intdigest(struct.pack("<i", 1), xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) % 4 == 0
+    have, total = Counter(), Counter()
+    for i in single:
+        if not quarter(i):
+            total[chosen[i]] += 1
+            for f in {f for own in plain_features(texts[i], restorer).values() for f in own}:
+                have[f, chosen[i]] += 1
+    clean, toxic = total[0], total[1]
+    features = [f for f, label in have if label == 1 and have[f, 1] >= 3]
+    weight = {}
+    for f in features:
+        pos, neg = have[f, 1], have[f, 0]
+        w = math.log((pos + 0.5) / (toxic + 1)) - math.log((neg + 0.5) / (clean + 1))
+        if w > 0 and (pos + 0.5) / (pos + neg + 1) >= 0.5 and toxicity.tail(pos, pos + neg, toxic / (toxic + clean)) * (len(features) + 1) < 0.05:
+            weight[f] = w
+    assert len(weight) == len(model.keys) > 5 and np.allclose(sorted(weight.values()), sorted(model.weights))
+    scored = {r.doc_id: r.score for r in toxicity.with_scores(docs, model).collect()}
+    for i, t in texts.items():
+        x = sum(max([0.0, *(weight[f] for f in own if f in weight)]) for own in plain_features(t, restorer).values())
+        assert abs(scored[i] - 1 / (1 + math.exp(-min(30, max(-30, model.prior + model.slope * x))))) < 1e-9
+    held = sorted(i for i in single if quarter(i))
+    y = [chosen[i] for i in held]
+    if min(sum(y), len(y) - sum(y)) >= 5:  # the fitted prior and slope are where the penalised likelihood is flat
+        x = np.array([sum(max([0.0, *(weight[f] for f in own if f in weight)]) for own in plain_features(texts[i], restorer).values()) for i in held])
+        p = 1 / (1 + np.exp(-(model.prior + model.slope * x)))
+        assert abs((np.array(y) - p).sum()) < 1e-3 and abs((x * (np.array(y) - p)).sum() - 0.5 * (model.slope - 1)) < 1e-3 or model.slope == 0.05
