@@ -153,3 +153,30 @@ def test_remembered_grams_are_forgotten(toy):
     held = langid.Remembered(len(toy.langs), 1)
     held.most = 700
     assert np.allclose(toy.entropies(data, offsets, held)[0], toy.entropies(data, offsets)[0]) and len(held.values) <= 700
+
+
+def test_query_by_hand(spark, sf, documents):
+    """Language, score and rejection of every document of the query, by dictionaries over the training rows."""
+    rows = [(r.doc_id, r.text or "", r.lang) for r in documents.collect()]
+    train = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1 and x is not None and any(c != 32 for c in fold_all(t))]
+    langs = sorted({x for _, x in train})
+    symbols = len({c for t, _ in train for c in fold_all(t)} | {32})
+    plain = [Plain([t for t, x in train if x == lang], symbols) for lang in langs]
+    for p in plain:  # each probability once
+        known, of = {}, p.p
+        p.p = lambda g, known=known, of=of: known[g] if g in known else known.setdefault(g, of(g))
+    nats = {t: np.array([p.nats(t) for p in plain]) for t in {t for _, t, _ in rows} if any(c != 32 for c in fold_all(t))}
+    own = {lang: np.array([nats[t][langs.index(lang)] for t, x in train if x == lang]) for lang in langs}
+    together = sum(v.var() * len(v) for v in own.values()) / len(train)
+    limit = {x: v.mean() + 4 * (v.var() if len(v) >= 30 else max(v.var(), together)) ** 0.5 for x, v in own.items()}
+    found = {r.doc_id: r for r in langid.op5_langid(spark, sf).collect()}
+    assert len(found) == len(rows)
+    for i, t, _ in rows:
+        r = found[i]
+        if t not in nats:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        gaps = (nats[t] - nats[t].min()) * 0.5 * min(len(fold_all(t)) + 1, 60)
+        best = langs[int(nats[t].argmin())]
+        assert r.lang_pred == best and abs(r.score - 1 / np.exp(-gaps).sum()) < 2e-3
+        assert r.rejected == (nats[t].min() > limit[best]) or abs(nats[t].min() - limit[best]) < 1e-3
