@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.llm.shared import written
+from reliefspark.llm.shared import forget, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,6 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = both.where("x <> y").union(both.where("x <> y").select("y", "x")).distinct()
     both = written(both, "links")
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
+    held = labels
     while True:  # labels only fall, so it ends
         near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("x").alias("label"), F.col("label").alias("beyond"))
@@ -30,6 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = low.join(jump, "label").join(hooks, "x", "left").select("x", F.least("near", "label", "beyond", "hook").alias("new"), "label")
         new = written(new, "labels")
         moved = not new.where("new <> label").isEmpty()
-        labels = new.select("x", F.col("new").alias("label"))
+        forget(held)
+        labels, held = new.select("x", F.col("new").alias("label")), new
         if not moved:
+            forget(both)
             return labels.select(F.col("x").alias("id"), F.col("label").alias("component"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.llm.graph import components
-from reliefspark.llm.shared import table, written
+from reliefspark.llm.shared import partitions, table, written
 from reliefspark.llm.textkit import U64, chained, hash_spans, mix, slices, words
 
 #: 40 bands of 4 registers: two sets of similarity 0.8 miss all bands with a probability of (1 - 0.8^4)^40 < 1e-9.
@@ -290,7 +290,7 @@ def block_links(at_home: DataFrame, guests: DataFrame, full: DataFrame, floor: f
     """
     at_home = at_home.select("id", "component", "host", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
     guests = guests.select("id", "component", "host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
-    rows = at_home.union(guests).join(full, "id").repartition("host", "block").sortWithinPartitions("host", "block", "visitor")
+    rows = at_home.union(guests).join(full, "id").repartition(partitions(full.sparkSession), "host", "block").sortWithinPartitions("host", "block", "visitor")
 
     def sketch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(len(batch), BUCKETS)
@@ -361,7 +361,7 @@ def weak_edges(placed: DataFrame, sketches: DataFrame, floor: float, num: int, d
     dealt = placed.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = both.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "id").join(sketches, "id")
-    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rows = rows.repartition(partitions(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compare(rows: list[pa.RecordBatch], diagonal: bool) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()

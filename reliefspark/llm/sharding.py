@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reliefspark.llm.shared import table, written
+from reliefspark.llm.shared import forget, table, written
 
 
 def buckets(size: Column) -> Column:
@@ -99,9 +99,14 @@ def propagated(groups: DataFrame, quotas: list[int], rounds: int) -> tuple[DataF
         first = running(moves, ["shard", "to"], lookup(sizes, pair), ["g"], F.col("n"), "before", rank=F.floor(F.log2("n")))
         taken = first.select("g", "shard", "to", F.greatest(F.lit(0), F.least(F.col("n"), lookup(accepted, pair) - F.col("before"))).alias("k")).where("k > 0")
         changes = taken.select("g", "shard", (-F.col("k")).alias("n")).union(taken.select("g", F.col("to").alias("shard"), F.col("k").alias("n")))
+        before = blocks
         blocks = written(blocks.select("g", "shard", "n").union(changes).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "blocks")
         cuts.append(cut_links(blocks))
+        forget(moves)
+        if before is not best:
+            forget(before)
         if cuts[-1] < min(cuts[:-1]):
+            forget(best)
             best, idle = blocks, 0
         elif (idle := idle + 1) == 3:
             break

@@ -35,7 +35,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table that ``written`` made and nothing needs any more."""
+    store, path = local_or_remote(df.written_to)
+    if store.get_file_info(path).type.name == "Directory":
+        store.delete_dir(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions of the session: for rows whose cost isn't their bytes, so that they are not put together by bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
