@@ -12,6 +12,8 @@ from reliefspark.sources.files import open_input, store_of
 #: Keys of the header.
 KEYS = ("ncols", "nrows", "xllcorner", "xllcenter", "yllcorner", "yllcenter", "cellsize", "dx", "dy", "nodata_value")
 BLOCK = 8 << 20
+#: Bytes of a block of the index: how many values begin in each.
+INDEX_BLOCK = 4 << 20
 
 
 def read_ascii_header(path: str) -> tuple[RasterMeta, int]:
@@ -34,38 +36,55 @@ def read_ascii_header(path: str) -> tuple[RasterMeta, int]:
     return RasterMeta(ncols, nrows, dx, found.get("nodata_value"), x, y, (x, dx, 0.0, y + nrows * dy, 0.0, -dy)), at
 
 
-def row_offsets(path: str, meta: RasterMeta, begin: int, every: int) -> list[int]:
-    """Where rows 0, ``every``, 2 * ``every``, ... begin: one pass over the file's bytes, as lines need not be rows."""
-    wanted = np.arange(0, meta.nrows, every, dtype=np.int64) * meta.ncols
-    out, seen, before = [], 0, True
+def spaces(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def file_bytes(path: str) -> int:
+    store, name = store_of(path)
+    return store.get_file_info(name).size
+
+
+def count_values(path: str, begin: int, block: int) -> int:
+    """How many values begin in a block of INDEX_BLOCK bytes; lines need not be rows."""
+    at = begin + block * INDEX_BLOCK
     with open_input(path) as f:
-        f.seek(begin)
-        at = begin
-        while len(out) < len(wanted):
-            data = np.frombuffer(f.read(BLOCK), np.uint8)
-            if not len(data):
-                raise ValueError(f"{path}: {seen} values, the header says {meta.nrows * meta.ncols}")
-            space = (data == 32) | ((data >= 9) & (data <= 13))
-            starts = np.flatnonzero(~space & np.concatenate([[before], space[:-1]]))
-            inside = wanted[len(out) : len(out) + int(np.searchsorted(wanted[len(out) :], seen + len(starts)))]
-            out += (at + starts[inside - seen]).tolist()
-            seen, before, at = seen + len(starts), bool(space[-1]), at + len(data)
-    return out
-
-
-def read_ascii_rows(path: str, meta: RasterMeta, offset: int, end: int | None, rows: int):
-    """``rows`` rows from byte ``offset`` on, as float32, some at a time."""
-    held, rest, given = [], b"", 0
+        f.seek(max(begin, at - 1))
+        data = np.frombuffer(f.read(INDEX_BLOCK + (block > 0)), np.uint8)
+    space = spaces(data)
+    before = space[:-1] if block else np.concatenate([[True], space[:-1]])
+    return int(np.count_nonzero(~space[int(block > 0) :] & before))
+
+
+def n_blocks(path: str, begin: int) -> int:
+    return max(1, -(-(file_bytes(path) - begin) // INDEX_BLOCK))
+
+
+def place_of(counts: list[int], value: int) -> tuple[int, int]:
+    """(block in which a value begins, values that begin in it before)."""
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    block = min(int(np.searchsorted(sums, value, "right")) - 1, len(counts) - 1)
+    return block, value - int(sums[block])
+
+
+def read_ascii_rows(path: str, meta: RasterMeta, begin: int, block: int, skip: int, rows: int):
+    """``rows`` rows as float32, some at a time, from the ``skip``-th value on that begins in a block."""
+    held, rest, given, offset = [], b"", 0, begin + block * INDEX_BLOCK
     with open_input(path) as f:
+        left = file_bytes(path) - offset
+        if block:  # a value that began before the block isn't the block's
+            f.seek(offset - 1)
+            skip += int(not spaces(np.frombuffer(f.read(2), np.uint8)).any())
         f.seek(offset)
-        left = (end if end is not None else store_of(path)[0].get_file_info(store_of(path)[1]).size) - offset
         while left > 0 or rest:
             data = f.read(min(BLOCK, left)) if left > 0 else b""
             left -= len(data)
             data = rest + data
             cut = len(data) if left <= 0 or not data else max(data.rfind(b" "), data.rfind(b"\n"), data.rfind(b"\t"), data.rfind(b"\r")) + 1
             rest = data[cut:]
-            held.append(np.array(data[:cut].split(), np.float64))
+            values = data[:cut].split()
+            held.append(np.array(values[skip:], np.float64))
+            skip = max(0, skip - len(values))
             if left <= 0 and not rest or sum(map(len, held)) >= meta.ncols:
                 values = np.concatenate(held)
                 whole = min(len(values) // meta.ncols if meta.ncols else 0, rows - given)

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from reliefspark.meta import RasterMeta, file_type
 from reliefspark.operators.strips import strip_rows
-from reliefspark.sources.ascii_grid import read_ascii_header, read_ascii_rows, row_offsets
+from reliefspark.sources.ascii_grid import count_values, n_blocks, place_of, read_ascii_header, read_ascii_rows
 from reliefspark.sources.files import store_of
 from reliefspark.sources.tiff import pack_strip, read_layout, read_tiff_rows, tiff_head
 
@@ -70,7 +70,7 @@ class RowRange(InputPartition):
     strip: int
     above: int = 0
     below: int = 0
-    offset: int = 0
+    block: int = 0
     skip: int = 0
 
 
@@ -85,6 +85,7 @@ class RasterReader(DataSourceReader):
             self.tiles, self.meta = tiles_of(self.path), read_header(self.path)
         self.height = int(options.get("striprows") or strip_rows(self.meta.ncols))
         self.lo, self.hi = 0, self.meta.nrows
+        self.index = json.loads(options.get("index", "null"))
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
@@ -104,11 +105,11 @@ class RasterReader(DataSourceReader):
             above, below = (int(first > 0), int(last < self.meta.nrows)) if self.halo else (0, 0)
             out.append(RowRange(first, last, strip, above, below))
         if self.type == "asc":
-            every = self.height
-            offsets = row_offsets(self.path, self.meta, self.begin, every)
+            counts = self.index or [count_values(self.path, self.begin, k) for k in range(n_blocks(self.path, self.begin))]
+            if sum(counts) < self.meta.nrows * self.meta.ncols:
+                raise ValueError(f"{self.path}: {sum(counts)} values, the header says {self.meta.nrows * self.meta.ncols}")
             for p in out:
-                start = (p.first - p.above) // every
-                p.offset, p.skip = offsets[start], p.first - p.above - start * every
+                p.block, p.skip = place_of(counts, (p.first - p.above) * self.meta.ncols)
         return out
 
     def blocks(self, p: RowRange) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,12 +121,9 @@ class RasterReader(DataSourceReader):
                     for at, block in read_tiff_rows(path, read_layout(path), max(first, top) - top, min(last, end) - top):
                         yield top + at, block
             return
-        at = first - p.skip
-        for block in read_ascii_rows(self.path, self.meta, p.offset, None, last - at):
-            lo = max(0, first - at)
-            if lo < len(block):
-                yield at + lo, block[lo:]
-            at += len(block)
+        for block in read_ascii_rows(self.path, self.meta, self.begin, p.block, p.skip, last - first):
+            yield first, block
+            first += len(block)
 
     def read(self, p: RowRange):
         most = max(1, (4 << 20) // (4 * max(1, self.meta.ncols)))
@@ -284,7 +282,25 @@ def read_raster(spark: SparkSession, path: str, *, halo: bool = False, strip: in
     register(spark)
     meta = read_header(path)
     strip = strip or fitting_strip(spark, meta)
-    return spark.read.format("raster").option("halo", str(halo).lower()).option("stripRows", strip).load(path), meta
+    how = {"halo": str(halo).lower(), "stripRows": strip}
+    if file_type(path) == "asc":
+        how["index"] = json.dumps(ascii_index(spark, path))
+    return spark.read.format("raster").options(**how).load(path), meta
+
+
+def ascii_index(spark: SparkSession, path: str) -> list[int]:
+    """How many values begin in each block of an ASCII grid: tasks count them, a number for each block reaches the driver."""
+    begin = read_ascii_header(path)[1]
+    blocks = n_blocks(path, begin)
+    if blocks == 1:
+        return [count_values(path, begin, 0)]
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([count_values(path, begin, k) for k in batch.column("id").to_pylist()], pa.int64())], names=["id", "n"])
+
+    tasks = min(blocks, 4 * spark.sparkContext.defaultParallelism)
+    return [r.n for r in sorted(spark.range(0, blocks, 1, tasks).mapInArrow(count, "id long, n long").collect())]
 
 
 def default_rows_per_strip(meta: RasterMeta) -> int:

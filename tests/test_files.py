@@ -47,6 +47,39 @@ def test_ascii(spark, tmp_path, kind, strip):
     assert np.allclose(grid_of(spark, tmp_path / "x.asc", strip=strip), z)
 
 
+@pytest.mark.parametrize("block", [5, 16, 1000])
+def test_ascii_in_blocks(spark, tmp_path, monkeypatch, block):
+    """Values that lie across the blocks of the index, rows that lines don't follow."""
+    from reliefspark.sources import ascii_grid
+
+    monkeypatch.setattr(ascii_grid, "INDEX_BLOCK", block)
+    z = np.random.default_rng(3).integers(-5000, 99999, (40, 6)) / 4
+    flat = [f"{v:g}" if i % 3 else f"{v:.3f}" for i, v in enumerate(z.ravel().tolist())]
+    z = np.array(flat, float).reshape(z.shape)
+    body = "".join(x + (" ", "\n", "  \r\n", "\t")[i % 4] for i, x in enumerate(flat))
+    (tmp_path / "x.asc").write_text(f"ncols 6\nnrows 40\ncellsize 1\n{body}")
+    path = str(tmp_path / "x.asc")
+    meta, begin = ascii_grid.read_ascii_header(path)
+    counts = [ascii_grid.count_values(path, begin, k) for k in range(ascii_grid.n_blocks(path, begin))]
+    assert sum(counts) == 240
+    for first in range(0, 40, 3):
+        at, skip = ascii_grid.place_of(counts, first * 6)
+        found = np.concatenate(list(ascii_grid.read_ascii_rows(path, meta, begin, at, skip, min(3, 40 - first))))
+        assert np.array_equal(found, z[first : first + 3].astype(np.float32))
+
+
+def test_ascii_index_by_tasks(spark, tmp_path):
+    """A grid of several blocks of the index."""
+    row = " ".join(str(k % 1000) for k in range(3000))
+    (tmp_path / "x.asc").write_text("ncols 3000\nnrows 900\ncellsize 1\n" + "\n".join([row] * 900))
+    from reliefspark.sources.raster import ascii_index
+
+    counts = ascii_index(spark, str(tmp_path / "x.asc"))
+    assert len(counts) == 3 and sum(counts) == 2_700_000
+    got = read_raster(spark, str(tmp_path / "x.asc"), strip=100)[0].selectExpr("row", "size(z) as n", "aggregate(z, cast(0 as double), (a, x) -> a + x) as s").distinct().collect()
+    assert {(r.n, r.s) for r in got} == {(3000, sum(k % 1000 for k in range(3000)))} and len(got) == 900
+
+
 def test_broken_ascii(spark, tmp_path):
     (tmp_path / "x.asc").write_text(HEAD + "1 2 3")
     with pytest.raises(Exception, match="values, the header says 30|rows from byte"):
