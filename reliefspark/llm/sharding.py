@@ -20,7 +20,7 @@ from reliefspark.llm.shared import forget, table, written
 
 def buckets(size: Column) -> Column:
     """Into how many buckets ``size`` rows are dealt for numbering: the bucket grows with the square root, as does their number."""
-    return F.when(size < 1000, F.lit(1)).otherwise(F.ceil(2 * F.sqrt(size))).cast("long")
+    return F.when(size < 1000, F.lit(1)).otherwise(F.ceil(4 * F.sqrt(size))).cast("long")
 
 
 def running(rows: DataFrame, keys: list[str], size: Column, order: list[str], value: Column, out: str, rank: Column | None = None) -> DataFrame:
