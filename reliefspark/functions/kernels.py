@@ -28,11 +28,11 @@ def aspect(n, dx, dy, meta):
 
 def hillshade(altitude: float = 45.0, azimuth: float = 315.0) -> Kernel:
     zenith, direction = np.radians(90.0 - altitude), np.radians((360.0 - azimuth + 90.0) % 360.0)
+    up, east, north = 255.0 * np.cos(zenith), 255.0 * np.sin(zenith) * np.cos(direction), 255.0 * np.sin(zenith) * np.sin(direction)
 
     def kernel(n, dx, dy, meta):
-        tilt, angle = slope(n, dx, dy, meta), np.arctan2(dy, -dx)
-        light = np.cos(zenith) * np.cos(tilt) + np.sin(zenith) * np.sin(tilt) * np.cos(direction - np.where(angle < 0, 2 * np.pi + angle, angle))
-        return np.maximum(0, 255.0 * light)
+        # the cosine between the sun and the cell's normal: the same light as by slope and aspect, without their angles
+        return np.maximum(0, (up - east * dx + north * dy) / np.sqrt(1 + dx * dx + dy * dy))
 
     return kernel
 
@@ -64,11 +64,17 @@ def apply_kernels(z: np.ndarray, first: int, above: int, below: int, meta: Raste
         return [np.zeros((0, cols)) for _ in kernels]
     e = wide[inner, 1:-1]
     n = {"e": e}
+    # most rows have no hole; at the first and last column, which have no values, neighbours beyond the grid stay as they are
+    holed = gone[:, 1:-1].any(1)
     for k, letter in enumerate("abcdefghi"):
         if letter != "e":
             dr, dc = k // 3 - 1, k % 3 - 1
             at = (slice(inner.start + dr, inner.stop + dr), slice(1 + dc, 1 + dc + cols))
-            n[letter] = np.where(gone[at], e, wide[at])
+            n[letter] = wide[at]
+            rows = np.flatnonzero(holed[at[0]])
+            if len(rows):
+                n[letter] = n[letter].copy()
+                n[letter][rows] = np.where(gone[at][rows], e[rows], n[letter][rows])
     dx = ((n["c"] + 2 * n["f"] + n["i"]) - (n["a"] + 2 * n["d"] + n["g"])) / (8 * float(meta.cellsize))
     dy = ((n["g"] + 2 * n["h"] + n["i"]) - (n["a"] + 2 * n["b"] + n["c"])) / (8 * float(meta.cellsize))
     bad = gone[inner, 1:-1].copy()
